@@ -248,7 +248,7 @@ def quantity_reader(dimension: str = "money"):
 #: The value holds nothing but a number: only such values look for a unit elsewhere.
 BARE = r"^[\s\d.,]*\d[\s\d.,]*$"
 #: A line that states the unit of a page's amounts.
-UNIT_LINE = r"(?im)^[ \t(]*((?:all[ \t]+)?(?:amounts?|figures|values?|राशि)\b[^\n\d]{0,24}(?:lakhs?|lacs?|crores?|thousands?|millions?|rupees|rs\.?|inr|लाख|करोड़|हजार|रुपये)[^\n\d]{0,20}(?:['’]0{3})?[ \t).]*)$"
+UNIT_LINE = r"(?im)^[ \t(]*((?:all[ \t]+)?(?:amounts?|figures|values?|राशि)(?=[\s:(])[^\n\d]{0,24}(?:lakhs?|lacs?|crores?|thousands?|millions?|rupees|rs\.?|inr|लाख|करोड़|हजार|रुपये)[^\n\d]{0,20}(?:['’]0{3})?[ \t).]*)$"
 
 
 def page_units(pages: DataFrame, page_id: str = "page_id", text: str = "text") -> DataFrame:
