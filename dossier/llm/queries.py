@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.names import attribute_key
-from dossier.llm import names
+from dossier.llm import leakage, mixing, names, residue
 from dossier.session import table
 
 
@@ -21,5 +21,28 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.same_party_pairs(names.parties(_typed_names(spark, sf_dir)))
 
 
-QUERIES = {"p1_found": p1_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed rows."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the mix's tokens that each source really got."""
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_ids(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without the residue records."""
+    return residue.without_residue(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean}
 SQL: dict[str, str] = {}

@@ -23,15 +23,18 @@ from pyspark.sql import functions as F
 
 from dossier.session import settle
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 19
 ROUNDS = 4
 #: Additive smoothing: small, so that words never seen in residue speak for content.
 SMOOTHING = 0.02
 #: Residue needs this probability.
 THRESHOLD = 0.9
 
-#: Ends of passages: line breaks and sentence ends.
-BREAKS = r"\n+|(?<=[.!?।])\s+"
+#: An untrusted passage of fewer features than this says too little to be called residue.
+LEAST_FEATURES = 6
+
+#: Ends of passages: line breaks, sentence ends (but not 'Rs.') and the reference number that closes a heading.
+BREAKS = r"\n+|(?<=[.!?।])(?<!\bRs\.)(?<!\bNo\.)\s+|(?<=/\d{4}-\d{2})\s+(?=[\p{Lu}{\[<«@_%$#])"
 
 # Marks that only template residue and web messages have.
 SLOT_MARKS = [
@@ -42,14 +45,15 @@ SLOT_MARKS = [
 ]
 FILLER_MARKS = [
     r"(?i)\blorem ipsum\b", r"(?i)\bdolor sit amet\b", r"(?i)\bx{4,}(?:\s+x{4,}){2,}", r"(?i)\b(?:asdf|qwerty)\b\s+\b(?:asdf|qwerty|test)\b", r"(?i)\b(?:dummy|filler|placeholder) (?:content|text|copy)\b", r"(?i)^\W*sample text\b",
-    r"(?i)\breplace this (?:paragraph|text|sentence|section) with\b", r"(?i)\bblind copy\b.*\bcolumn\b", r"(?i)\b(?:your )?text (?:goes )?here\b\W*$", r"(?i)\bquick brown fox\b", r"(?i)^\W*(?:TBD|TODO|FIXME)\b",
+    r"(?i)\breplace this (?:paragraph|text|sentence|section) with\b", r"(?i)\bblind copy\b.*\bcolumn\b", r"(?i)\b(?:your )?text (?:goes )?here\b\W*$", r"(?i)^\W*(?:type|enter|write|put) (?:the|your) [\w ]{2,30} here\b", r"(?i)^\W*[\w ]{2,30} goes here\b", r"(?i)\bquick brown fox\b", r"(?i)^\W*(?:TBD|TODO|FIXME)\b",
 ]
 ERROR_MARKS = [
     r"(?i)\b(?:400|401|403|404|405|408|410|429|500|501|502|503|504)\b\s*[:\-|]?\s*(?:bad request|unauthori[sz]ed|forbidden|not found|page not found|method not allowed|request timeout|gone|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|error)\b",
     r"(?i)\b(?:requested|this) (?:url|page|document|resource|file) (?:could|was|can) ?not (?:be )?\w+ (?:found )?on this server", r"(?i)(?:^|help |login )access (?:is |was )?denied[.!]", r"(?i)\byou do not have permission to (?:view|access|open)\b", r"(?i)\byour session (?:has|had|is) (?:been )?(?:expired|timed out|ended|closed|over)\b",
     r"(?i)\b(?:please )?(?:enable|turn on|switch on|activate|allow) (?:javascript|java script|scripts|cookies)\b(?! in the browser and)", r"(?i)\bcookies must be (?:switched on|enabled|turned on|allowed)\b", r"(?i)\bjavascript is (?:disabled|off|required|turned off|switched off)\b", r"(?i)\bthis (?:page|site|portal) (?:needs|requires) (?:scripts|javascript)\b",
     r"(?i)\boops!", r"(?i)^\W*loading\b[^.\n]{0,40}\.\.\.", r"(?i)\bloading document viewer\b", r"(?i)\bchecking your browser\b", r"(?i)\bverifying you are human\b", r"(?i)\btraceback\b\s*[:(]", r"(?i)\bconnection to (?:the )?database (?:timed out|failed|was lost)\b", r"(?i)\bjust a moment\.\.\.",
-    r"जावास्क्रिप्ट\s+(?:चालू|सक्षम)", r"(?:सत्र|सेशन)\s+(?:समाप्त|खत्म)",
+    r"(?i)\bthe (?:site|portal|service|page) is (?:down|closed|offline|unavailable|under maintenance|not available)\b(?: for| till| until|\W*$)", r"(?i)\b(?:sign|log) in (?:again|once more) to continue\b", r"(?i)\btemporarily unavailable\b",
+    r"जावास्क्रिप्ट\s+(?:चालू|सक्षम)", r"त्रुटि\s*(?:[४५]०|[45]0)", r"(?i)\b(?:something went wrong|we hit a snag|that did not work) while\b", r"(?:सत्र|सेशन)\s+(?:समाप्त|खत्म)",
 ]
 _TRUSTED = re.compile("|".join(f"(?:{m})" for m in SLOT_MARKS))
 _LOWER = re.compile("|".join(f"(?:{m.replace('(?i)', '')})" for m in (*FILLER_MARKS, *ERROR_MARKS)), re.I)
@@ -87,6 +91,7 @@ def _posterior(model: tuple[np.ndarray, float], flags: np.ndarray, lists: pd.Ser
     flat = np.concatenate(lists.to_list()) if len(lists) else np.array([], np.int64)
     of = np.repeat(np.arange(len(lists)), sizes)
     score = np.bincount(of, weights=ratio[flat], minlength=len(lists)) / np.maximum(1.0, sizes / 40.0) + prior
+    score = np.where(sizes < LEAST_FEATURES, -60.0, score)
     p = 1.0 / (1.0 + np.exp(-np.clip(score, -60, 60)))
     return np.where(flags, 1.0, p), flat, of
 
@@ -129,7 +134,7 @@ def learn(table: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float] |
             return None
         p = (yes + SMOOTHING) / (yes.sum() + SMOOTHING * BUCKETS)
         q = (no + SMOOTHING) / (no.sum() + SMOOTHING * BUCKETS)
-        model = (np.log(p) - np.log(q), float(np.log(n_yes + 1) - np.log(n_no + 1)))
+        model = ((np.log(p) - np.log(q)).astype(np.float32), float(np.log(n_yes + 1) - np.log(n_no + 1)))
     return model
 
 
