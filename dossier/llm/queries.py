@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.names import attribute_key
-from dossier.llm import leakage, mixing, names, residue
+from dossier.llm import leakage, mixing, names, nearcopies, residue
 from dossier.session import table
 
 
@@ -21,6 +21,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.same_party_pairs(names.parties(_typed_names(spark, sf_dir)))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.copy_pairs(nearcopies.classes(table(spark, sf_dir, "page_results")))
+
+
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page that has copies: its class, and the links between different texts of the class."""
+    return nearcopies.classes(table(spark, sf_dir, "page_results"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -44,5 +53,5 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean}
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean}
 SQL: dict[str, str] = {}

@@ -60,9 +60,23 @@ _LOWER = re.compile("|".join(f"(?:{m.replace('(?i)', '')})" for m in (*FILLER_MA
 _WORD = re.compile(r"[^\W\d_]+|\d+|[{}<>\[\]$%@#«»]+|_{2,}", re.UNICODE)
 
 
+# Each filler and error mark has one of these words, each slot mark one of these signs; other passages skip the patterns.
+_CUES = frozenset(
+    "lorem dolor asdf qwerty dummy filler placeholder sample replace blind here quick tbd todo fixme server access permission session enable turn switch activate allow cookies javascript scripts oops loading browser verifying traceback "
+    "connection moment site portal service page sign log temporarily something snag work जावास्क्रिप्ट त्रुटि सत्र सेशन".split()
+)
+_SIGNS = re.compile(r"[{}<>«»@#$%\[(]|__|&lt;|[Xx]{2}/|undefined")
+_LETTERS = re.compile(r"[^\W\d_]+[\u0900-\u097F]*(?:[^\W\d_]|[\u0900-\u097F])*")
+_CODES = re.compile(r"\b[45]\d\d\b|[xX]{4}")
+
+
 def trusted(passage: str) -> bool:
     """Whether the passage has an unmistakable mark of residue."""
-    return bool(_TRUSTED.search(passage) or _LOWER.search(passage))
+    if _SIGNS.search(passage) and _TRUSTED.search(passage):
+        return True
+    if _CUES.isdisjoint(_LETTERS.findall(passage.lower())) and not _CODES.search(passage):
+        return False
+    return bool(_LOWER.search(passage))
 
 
 def features(passage: str) -> list[int]:
