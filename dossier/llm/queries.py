@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.names import attribute_key
-from dossier.llm import leakage, mixing, names, nearcopies, private, residue
+from dossier.llm import leakage, mixing, names, nearcopies, private, residue, scans
 from dossier.session import table
 
 
@@ -21,6 +21,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.same_party_pairs(names.parties(_typed_names(spark, sf_dir)))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noisy_lines(table(spark, sf_dir, "page_results"), table(spark, sf_dir, "page_documents"))
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired paragraphs of every page."""
+    return scans.repaired(table(spark, sf_dir, "page_results"), table(spark, sf_dir, "page_documents"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.items(private.free_texts(table(spark, sf_dir, "page_results"), table(spark, sf_dir, "extracted_fields")))
 
@@ -62,5 +71,5 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_replaced": p4_replaced, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_replaced": p4_replaced, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean}
 SQL: dict[str, str] = {}
