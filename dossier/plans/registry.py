@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.plans import general
+from dossier.plans import general, papers
 
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
+QUERIES = {**general.QUERIES, **papers.QUERIES}
+SQL = {**general.SQL, **papers.SQL}
