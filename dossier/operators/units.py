@@ -242,7 +242,7 @@ def quantity_reader(dimension: str = "money"):
             out.append(_whole(amount))
         return pd.Series(out, dtype="Int64")
 
-    return F.pandas_udf(read, T.LongType())
+    return F.pandas_udf(read, T.LongType()).asNondeterministic()  # so that a filter on it does not compute it again
 
 
 #: The value holds nothing but a number: only such values look for a unit elsewhere.

@@ -81,5 +81,58 @@ select document_id, field_name, arg_max(cell, (coalesce(extracted_at, timestamp
 from cells where cell is not null group by document_id, field_name
 """
 
+# Number words of the SQL's reading of amounts in words.
+_WORDS_SQL = "map {'one':1,'two':2,'three':3,'four':4,'five':5,'six':6,'seven':7,'eight':8,'nine':9,'ten':10,'eleven':11,'twelve':12,'thirteen':13,'fourteen':14,'fifteen':15,'sixteen':16,'seventeen':17,'eighteen':18,'nineteen':19,'twenty':20,'thirty':30,'forty':40,'fifty':50,'sixty':60,'seventy':70,'eighty':80,'ninety':90}"
+
+
+def _scale_sql(text: str) -> str:
+    """The unit that a wording states, by its words."""
+    return rf"""case when regexp_matches({text}, '(^|[^a-z])(crores?|crs?)([^a-z]|$)|करोड़') then 10000000
+      when regexp_matches({text}, '(^|[^a-z])(lakhs?|lacs?|l)([^a-z]|$)|लाख') then 100000
+      when regexp_matches({text}, '(^|[^a-z])(millions?|mn|m)([^a-z]|$)') then 1000000
+      when regexp_matches({text}, '(^|[^a-z])(thousands?|k)([^a-z]|$)|[''’]000|हजार') then 1000
+      when regexp_matches({text}, '(^|[^a-z])(rs|inr|rupees?)([^a-z]|$)|₹|/-') then 1 end"""
+
+
+def _words_sql(part: str) -> str:
+    """The value of number words, with hundreds."""
+    total = lambda t: f"coalesce(list_sum(list_transform(string_split(trim({t}), ' '), lambda x: coalesce({_WORDS_SQL}[x], 0))), 0)"
+    return f"(case when contains({part}, 'hundred') then {total(f'split_part({part}, $$hundred$$, 1)')} * 100 + {total(f'split_part({part}, $$hundred$$, 2)')} else {total(part)} end)"
+
+
+P2_SQL = rf"""
+with m as (
+  select e.field_id, lower(trim(e.field_value)) v, lower(c.default_unit) du, d.page_id
+  from extracted_fields e join page_documents d using (document_id)
+  join field_catalog c on c.doc_type = d.doc_type and c.value_type = 'money'
+   and lower(regexp_replace(e.field_name, '[^\p{{L}}\p{{N}}]+', '', 'g')) = lower(regexp_replace(c.field_name, '[^\p{{L}}\p{{N}}]+', '', 'g'))
+  where trim(e.field_value) <> ''
+), unit_lines as (
+  select page_id, lower(regexp_extract(text, '(?im)^[ \t(]*((?:all[ \t]+)?(?:amounts?|figures|values?|राशि)[\s:(][^\n\d]{{0,24}}(?:lakhs?|lacs?|crores?|thousands?|millions?|rupees|rs\.?|inr|लाख|करोड़|हजार|रुपये)[^\n\d]{{0,20}}(?:[''’]0{{3}})?[ \t).]*)$', 1)) line
+  from page_results where text is not null
+), parts as (
+  select m.*, u.line, regexp_matches(v, '\d') has_digits, regexp_matches(v, '^[\s\d.,]+$') bare,
+    replace(regexp_extract(regexp_replace(v, '[''’]000', ''), '(\d[\d,]*(?:\.\d+)?)', 1), ',', '') num,
+    regexp_matches(v, '\d +(crore|lakh) +\d') several, regexp_replace(v, '^rupees +| +(only|rupees)$', '', 'g') w
+  from m left join unit_lines u using (page_id)
+), words7 as (
+  select *, case when contains(w, 'crore') then split_part(w, 'crore', 1) else '' end p7, case when contains(w, 'crore') then split_part(w, 'crore', 2) else w end r7 from parts
+), words5 as (
+  select *, case when contains(r7, 'lakh') then split_part(r7, 'lakh', 1) else '' end p5, case when contains(r7, 'lakh') then split_part(r7, 'lakh', 2) else r7 end r5 from words7
+), words3 as (
+  select *, case when contains(r5, 'thousand') then split_part(r5, 'thousand', 1) else '' end p3, case when contains(r5, 'thousand') then split_part(r5, 'thousand', 2) else r5 end p0 from words5
+), amounts as (
+  select field_id, case
+    when has_digits and several then coalesce(try_cast(regexp_extract(v, '(\d+) +crore', 1) as bigint), 0) * 10000000 + coalesce(try_cast(regexp_extract(v, '(\d+) +lakh', 1) as bigint), 0) * 100000 + coalesce(try_cast(regexp_extract(v, '(\d+) +thousand', 1) as bigint), 0) * 1000
+    when has_digits then cast(round(try_cast(num as decimal(28, 8)) * coalesce({_scale_sql("v")}, case when bare then {_scale_sql("line")} end, {_scale_sql("du")}, 1)) as bigint)
+    when regexp_matches(w, '^([a-z]+ )+(crore|lakh|thousand|hundred)') then {_words_sql("p7")} * 10000000 + {_words_sql("p5")} * 100000 + {_words_sql("p3")} * 1000 + {_words_sql("p0")}
+    end value_inr from words3
+)
+select 'extracted_fields' src, field_id row_id, cast(value_inr as bigint) value_inr from amounts where value_inr is not null
+union all
+select 'eligibility_rules', rule_id, cast(round(cast(min_value_inr as decimal(28, 8)) * coalesce({_scale_sql("lower(concat_ws(' ; ', note, regexp_extract(label, '[(](.*)[)]', 1)))")}, 1)) as bigint)
+from eligibility_rules where min_value_inr is not null and min_value_inr <> 0
+"""
+
 QUERIES = {"p2_found": p2_found, "p2_amounts_by_type": p2_amounts_by_type, "p5_found": p5_found, "p5_wide": p5_wide}
-SQL = {"p5_found": P5_SQL}
+SQL = {"p2_found": P2_SQL, "p5_found": P5_SQL}
