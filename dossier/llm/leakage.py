@@ -121,5 +121,6 @@ def leaks(corpus: DataFrame, items: DataFrame) -> DataFrame:
     candidates = candidates.groupBy("item_id", "doc_id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
     sizes = items.select("item_id", F.least(F.lit(ANCHORS), F.ceil(F.size("words") / STRETCH / 6)).cast("int").alias("least"))
     candidates = candidates.join(sizes, "item_id").where("size(at) >= least").select("item_id", "doc_id")
+    share = _held.asNondeterministic()("item_words", "words")  # so that the filter on it does not compute it again
     pairs = candidates.join(items.select("item_id", F.col("words").alias("item_words")), "item_id").join(corpus, "doc_id")
-    return pairs.select("doc_id", "item_id", _held("item_words", "words").alias("share")).where(F.col("share") >= SHARE)
+    return pairs.select("doc_id", "item_id", share.alias("share")).where(F.col("share") >= SHARE)

@@ -345,7 +345,7 @@ def parties(names: DataFrame) -> DataFrame:
     a = shared.select("kind", "form", "rarity", F.col("pid").alias("u"), F.col("p").alias("pu"), F.col("cost").alias("cu"))
     b = shared.select("kind", "form", F.col("pid").alias("v"), F.col("p").alias("pv"), F.col("cost").alias("cv"))
     pairs = a.join(b, ["kind", "form"]).where("u < v").groupBy("u", "v").agg(F.first("pu").alias("pu"), F.first("pv").alias("pv"), F.max(F.col("rarity") - F.col("cu") - F.col("cv")).alias("rarity"))
-    links = cut(pairs.withColumn("score", _agreement("pu", "pv")).where("score is not null").select("u", "v", "pu", "pv", (F.col("score") + F.col("rarity") / 100).alias("score")))
+    links = cut(pairs.withColumn("score", _agreement.asNondeterministic()("pu", "pv")).where("score is not null").select("u", "v", "pu", "pv", (F.col("score") + F.col("rarity") / 100).alias("score")))
     edges = _unambiguous(links)
     member = components(edges)
     joined = read.select("kind", "name", "pid").join(member, F.col("pid") == F.col("id"), "left")
