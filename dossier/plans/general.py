@@ -135,4 +135,6 @@ from eligibility_rules where min_value_inr is not null and min_value_inr <> 0
 """
 
 QUERIES = {"p2_found": p2_found, "p2_amounts_by_type": p2_amounts_by_type, "p5_found": p5_found, "p5_wide": p5_wide}
-SQL = {"p2_found": P2_SQL, "p5_found": P5_SQL}
+_BY_TYPE_SQL = rf"""select lower(regexp_replace(e.field_name, '[^\p{{L}}\p{{N}}]+', '', 'g')) attribute, count(*) amounts, cast(sum(value_inr) as decimal(38, 0)) total_inr
+from ({P2_SQL}) x join extracted_fields e on x.row_id = e.field_id where x.src = 'extracted_fields' group by 1"""
+SQL = {"p2_found": P2_SQL, "p2_amounts_by_type": _BY_TYPE_SQL, "p5_found": P5_SQL}
