@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions.names import attribute_key
+from dossier.session import bounded
 
 #: A cell that holds an amount is short; a longer text is prose and is unreadable as one amount.
 LONGEST = 400
@@ -268,9 +269,9 @@ def field_amounts(fields: DataFrame, documents: DataFrame, catalog: DataFrame, p
     rows = (
         fields.select("field_id", "document_id", attribute_key(F.col("field_name")).alias("attribute"), "field_value")
         .where("field_value is not null and trim(field_value) <> ''")
-        .join(F.broadcast(names), "attribute", "left_semi")
+        .join(bounded(names), "attribute", "left_semi")
         .join(papers, "document_id")
-        .join(F.broadcast(money), ["doc_type", "attribute"])
+        .join(bounded(money), ["doc_type", "attribute"])
     )
     bare = F.col("field_value").rlike(BARE)
     read = quantity_reader("money")

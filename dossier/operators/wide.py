@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from dossier.functions.cells import read_boolean, read_date, read_integer
 from dossier.functions.names import attribute_key
 from dossier.operators.units import BARE, page_units, quantity_reader
+from dossier.session import bounded
 
 ARROW = {"text": pa.string(), "json": pa.string(), "date": pa.date32(), "boolean": pa.bool_(), "integer": pa.int64(), "money": pa.int64()}
 SPARK = {"text": T.StringType(), "json": T.StringType(), "date": T.DateType(), "boolean": T.BooleanType(), "integer": T.LongType(), "money": T.LongType()}
@@ -45,9 +46,9 @@ def typed_cells(fields: DataFrame, documents: DataFrame, catalog: DataFrame, pag
     rows = (
         fields.select("document_id", "field_id", "extracted_at", attribute_key(F.col("field_name")).alias("attribute"), F.col("field_value").alias("v"))
         .where("v is not null and trim(v) <> ''")
-        .join(F.broadcast(known.select("attribute").distinct()), "attribute", "left_semi")
+        .join(bounded(known.select("attribute").distinct()), "attribute", "left_semi")
         .join(papers, "document_id")
-        .join(F.broadcast(known), ["doc_type", "attribute"])
+        .join(bounded(known), ["doc_type", "attribute"])
     )
     v, kind = F.col("v"), F.col("value_type")
     cell = (

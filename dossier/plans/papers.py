@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.names import attribute_key
 from dossier.operators import pages as ops
-from dossier.session import table
+from dossier.session import bounded, table
 from dossier.sources import rules
 from dossier.streaming import pages as streaming
 
@@ -297,7 +297,7 @@ def catalogue_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Required catalogue fields of every paper, and how many of them it lacks."""
     need = table(spark, sf_dir, "field_catalog").where("is_required").select("doc_type", attribute_key(F.col("field_name")).alias("k"))
     filled = table(spark, sf_dir, "extracted_fields").where("field_value is not null and trim(field_value) <> ''").select("document_id", attribute_key(F.col("field_name")).alias("k")).distinct().withColumn("has", F.lit(1))
-    due = table(spark, sf_dir, "page_documents").select("document_id", "doc_type").join(F.broadcast(need), "doc_type")
+    due = table(spark, sf_dir, "page_documents").select("document_id", "doc_type").join(bounded(need), "doc_type")
     return due.join(filled, ["document_id", "k"], "left").groupBy("document_id", "doc_type").agg(F.count("*").alias("required"), F.count_if(F.col("has").isNull()).alias("lacking"))
 
 

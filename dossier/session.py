@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Broadcast hints are only given to tables whose row count is checked against this bound first.
 SMALL_ROWS = 10_000
@@ -58,3 +59,8 @@ def settle(df: DataFrame) -> DataFrame:
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     """Whether df has at most so many rows; reads no further than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def bounded(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; without one, for a join by shuffle, beyond that."""
+    return F.broadcast(df) if is_small(df, rows) else df
