@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossier.session import is_small, settle
+from dossier.session import bounded, cut, settle
 
 #: Words of a stretch; each stretch gives one anchor.
 STRETCH = 6
@@ -52,9 +52,7 @@ def positional_index(corpus: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, doc_id, pos) of the corpus for the terms of the vocabulary, stored. corpus: doc_id, words."""
     postings = corpus.select("doc_id", F.posexplode("words").alias("pos", "term"))
     wanted = vocabulary.select("term").distinct()
-    if is_small(wanted, SMALL_TERMS):
-        wanted = F.broadcast(wanted)
-    return settle(postings.join(wanted, "term", "left_semi").select("term", "doc_id", "pos"))
+    return settle(postings.join(bounded(wanted, SMALL_TERMS), "term", "left_semi").select("term", "doc_id", "pos"))
 
 
 def anchors(items: DataFrame, index: DataFrame) -> DataFrame:
@@ -113,8 +111,8 @@ def leaks(corpus: DataFrame, items: DataFrame) -> DataFrame:
     corpus = corpus.select("doc_id", terms(F.col("text")).alias("words"))
     items = items.select("item_id", terms(F.col("text")).alias("words")).where("size(words) > 0")
     index = positional_index(corpus, items.select(F.explode("words").alias("term")))
-    chosen = anchors(items, index)
-    hits = index.join(F.broadcast(chosen) if is_small(chosen, SMALL_TERMS) else chosen, "term").select("item_id", "doc_id", "stretch", (F.col("pos") - F.col("at")).alias("offset"))
+    chosen = cut(anchors(items, index))
+    hits = index.join(bounded(chosen, SMALL_TERMS), "term").select("item_id", "doc_id", "stretch", (F.col("pos") - F.col("at")).alias("offset"))
     # each hit is put into two overlapping offset boxes, so that two hits within WOBBLE share one
     boxes = hits.select("item_id", "doc_id", "stretch", F.explode(F.array(F.floor(F.col("offset") / (2 * WOBBLE)) * 2, F.floor((F.col("offset") + WOBBLE) / (2 * WOBBLE)) * 2 + 1)).alias("box"))
     candidates = boxes.groupBy("item_id", "doc_id", "box").agg(F.collect_set("stretch").alias("at")).where("size(at) >= 2")

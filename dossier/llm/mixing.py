@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossier.session import settle
+from dossier.session import bounded, settle
 
 #: A public byte-level vocabulary as ranks; any other file of that form may be named.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -104,7 +104,7 @@ def plan(sizes: dict[str, int], targets: list[tuple[str, float, int]], total: fl
 def counted(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, text_key, n_tokens) of the least row of every distinct text of the targets' sources; stored."""
     listed = targets.select("source").where("source is not null").distinct()
-    rows = documents.select("doc_id", "source", "text").where("text is not null and trim(text) <> ''").join(F.broadcast(listed), "source", "left_semi")
+    rows = documents.select("doc_id", "source", "text").where("text is not null and trim(text) <> ''").join(bounded(listed), "source", "left_semi")
     sized = rows.select("doc_id", "source", F.md5(F.encode("text", "utf-8")).alias("text_key"), token_count(vocabulary)("text").alias("n_tokens"))
     return settle(sized.groupBy("text_key").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("r")).select("r.doc_id", "r.source", "text_key", "r.n_tokens"))
 
