@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ THRESHOLD = 0.9
 LEAST_FEATURES = 6
 
 #: Ends of passages: line breaks, sentence ends (but not 'Rs.') and the reference number that closes a heading.
-BREAKS = r"\n+|(?<=[.!?।])(?<!\bRs\.)(?<!\bNo\.)\s+|(?<=/\d{4}-\d{2})\s+(?=[\p{Lu}{\[<«@_%$#])"
+_BREAKS = re.compile(r"\n+|(?<=[.!?।])(?<!\bRs\.)(?<!\bNo\.)\s+|(?<=/\d{4}-\d{2})\s+(?=[A-Z{\[<«@_%$#])")
 
 # Marks that only template residue and web messages have.
 SLOT_MARKS = [
@@ -60,13 +60,13 @@ _LOWER = re.compile("|".join(f"(?:{m.replace('(?i)', '')})" for m in (*FILLER_MA
 _WORD = re.compile(r"[^\W\d_]+|\d+|[{}<>\[\]$%@#«»]+|_{2,}", re.UNICODE)
 
 
-# Each filler and error mark has one of these words, each slot mark one of these signs; other passages skip the patterns.
+# Each filler and error mark in English has one of these words, each slot mark one of these signs; other passages skip
+# the patterns.
 _CUES = frozenset(
     "lorem dolor asdf qwerty dummy filler placeholder sample replace blind here quick tbd todo fixme server access permission session enable turn switch activate allow cookies javascript scripts oops loading browser verifying traceback "
-    "connection moment site portal service page sign log temporarily something snag work जावास्क्रिप्ट त्रुटि सत्र सेशन".split()
+    "connection moment site portal service page sign log temporarily something snag work".split()
 )
 _SIGNS = re.compile(r"[{}<>«»@#$%\[(]|__|&lt;|[Xx]{2}/|undefined")
-_LETTERS = re.compile(r"[^\W\d_]+[\u0900-\u097F]*(?:[^\W\d_]|[\u0900-\u097F])*")
 _CODES = re.compile(r"\b[45]\d\d\b|[xX]{4}")
 
 
@@ -74,64 +74,100 @@ def trusted(passage: str) -> bool:
     """Whether the passage has an unmistakable mark of residue."""
     if _SIGNS.search(passage) and _TRUSTED.search(passage):
         return True
-    if _CUES.isdisjoint(_LETTERS.findall(passage.lower())) and not _CODES.search(passage):
+    if passage.isascii() and _CUES.isdisjoint(_WORD.findall(passage.lower())) and not _CODES.search(passage):
         return False
     return bool(_LOWER.search(passage))
 
 
-def features(passage: str) -> list[int]:
-    """Hashed words and word pairs; numbers are one word."""
-    words = ["9" if w[0].isdigit() else w.lower() for w in _WORD.findall(passage)]
-    pairs = [f"{a} {b}" for a, b in zip(["^", *words], [*words, "$"], strict=True)]
-    return [crc32(w.encode()) & (BUCKETS - 1) for w in (*words, *pairs)]
+#: Numbers of the marks that open and close a passage, below those of words.
+OPEN, CLOSE = 0, 1
 
 
-def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [(trusted(p), features(p)) for p in batch["passage"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "trusted": [r[0] for r in rows], "f": [r[1] for r in rows]})
+def numbers(words: list[str], memory: dict[str, int]) -> list[int]:
+    """The words' hashes between the marks that open and close a passage; all figures are one word."""
+    out = [OPEN]
+    for w in words:
+        n = memory.get(w)
+        if n is None:
+            if len(memory) > 500_000:
+                memory.clear()
+            n = memory[w] = 2 + crc32(b"9" if w[0].isdigit() else w.encode()) % (2**31 - 3)
+        out.append(n)
+    out.append(CLOSE)
+    return out
 
 
-def passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, trusted, f): the hashed features of every passage."""
-    cut = documents.select(F.col(doc_id).alias("doc_id"), F.explode(F.split(F.col(text), BREAKS)).alias("passage")).where("trim(passage) <> ''")
-    return cut.mapInPandas(_featurise, "doc_id bigint, trusted boolean, f array<int>")
+def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memory: dict[str, int] = {}
+    for batch in batches:
+        ids, flags, flat, ends = [], [], [], [0]
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for passage in _BREAKS.split(text):
+                if not passage or passage.isspace():
+                    continue
+                words = _WORD.findall(passage.lower())
+                sure = bool(_SIGNS.search(passage) and _TRUSTED.search(passage))
+                if not sure and not (passage.isascii() and _CUES.isdisjoint(words) and not _CODES.search(passage)):
+                    sure = bool(_LOWER.search(passage))
+                ids.append(doc_id)
+                flags.append(sure)
+                flat += numbers(words, memory)
+                ends.append(len(flat))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(flags, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=["doc_id", "trusted", "w"]
+        )
 
 
-def _posterior(model: tuple[np.ndarray, float], flags: np.ndarray, lists: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Probability of residue of each passage, with the flat features and the passage of each."""
+def passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, trusted, w): the words of every passage as numbers."""
+    return documents.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_featurise, "doc_id bigint, trusted boolean, w array<int>")
+
+
+def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(trusted, features in each passage, bucket of every word and word pair, passage of each)."""
+    lists = batch.column("w")
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    word = flat > CLOSE
+    inner = np.ones(len(flat), bool)
+    inner[np.cumsum(sizes) - 1] = False  # the closing mark opens no pair
+    first = np.nonzero(inner)[0]
+    pairs = ((flat[first] * 0x9E3779B1 + flat[first + 1] * 0x85EBCA77) >> 7) & (BUCKETS - 1) if len(first) else np.array([], np.int64)
+    buckets = np.concatenate([flat[word] & (BUCKETS - 1), pairs])
+    return batch.column("trusted").to_numpy(zero_copy_only=False), 2 * sizes - 3, buckets, np.concatenate([of[word], of[first]])
+
+
+def _posterior(model: tuple[np.ndarray, float] | None, flags: np.ndarray, sizes: np.ndarray, buckets: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Probability of residue of each passage; without a model only trusted passages have one."""
+    if model is None:
+        return flags.astype(float)
     ratio, prior = model
-    sizes = np.fromiter((len(x) for x in lists), np.int64, len(lists))
-    flat = np.concatenate(lists.to_list()) if len(lists) else np.array([], np.int64)
-    of = np.repeat(np.arange(len(lists)), sizes)
-    score = np.bincount(of, weights=ratio[flat], minlength=len(lists)) / np.maximum(1.0, sizes / 40.0) + prior
+    score = np.bincount(of, weights=ratio[buckets], minlength=len(flags)) / np.maximum(1.0, sizes / 40.0) + prior
     score = np.where(sizes < LEAST_FEATURES, -60.0, score)
-    p = 1.0 / (1.0 + np.exp(-np.clip(score, -60, 60)))
-    return np.where(flags, 1.0, p), flat, of
+    return np.where(flags, 1.0, 1.0 / (1.0 + np.exp(-np.clip(score, -60, 60))))
 
 
 def _counts(table: DataFrame, model: tuple[np.ndarray, float] | None) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Expected feature counts of residue and of content, and the expected passages of each; partial sums are made inside tasks."""
     shipped = table.sparkSession.sparkContext.broadcast(model)  # two fixed-size arrays
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yes, no, n = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(2)
         for batch in batches:
-            flags = batch["trusted"].to_numpy(bool)
-            if shipped.value is None:
-                lists = batch["f"]
-                flat = np.concatenate(lists.to_list()) if len(lists) else np.array([], np.int64)
-                of = np.repeat(np.arange(len(lists)), np.fromiter((len(x) for x in lists), np.int64, len(lists)))
-                p = flags.astype(float)
-            else:
-                p, flat, of = _posterior(shipped.value, flags, batch["f"])
-            yes += np.bincount(flat, weights=p[of], minlength=BUCKETS)
-            no += np.bincount(flat, weights=1 - p[of], minlength=BUCKETS)
+            if not batch.num_rows:
+                continue
+            flags, sizes, buckets, of = _features(batch)
+            p = _posterior(shipped.value, flags, sizes, buckets, of)
+            yes += np.bincount(buckets, weights=p[of], minlength=BUCKETS)
+            no += np.bincount(buckets, weights=1 - p[of], minlength=BUCKETS)
             n += (p.sum(), (1 - p).sum())
         at = np.nonzero(yes + no)[0]
-        yield pd.DataFrame({"bucket": np.append(at, -1), "yes": np.append(yes[at], n[0]), "no": np.append(no[at], n[1])})
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(yes[at], n[0])), pa.array(np.append(no[at], n[1]))], names=["bucket", "yes", "no"])
 
-    sums = table.mapInPandas(partial, "bucket bigint, yes double, no double").groupBy("bucket").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).toPandas()
+    sums = table.mapInArrow(partial, "bucket bigint, yes double, no double").groupBy("bucket").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).toPandas()  # at most BUCKETS + 1 rows
     yes, no = np.zeros(BUCKETS), np.zeros(BUCKETS)
     inside = sums[sums.bucket >= 0]
     yes[inside.bucket.to_numpy(int)], no[inside.bucket.to_numpy(int)] = inside.yes, inside.no
@@ -156,13 +192,12 @@ def scored(table: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFram
     """(doc_id, p): the probability of residue of every passage."""
     shipped = table.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flags = batch["trusted"].to_numpy(bool)
-            p = flags.astype(float) if shipped.value is None else _posterior(shipped.value, flags, batch["f"])[0]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "p": p})
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_posterior(shipped.value, *_features(batch)))], names=["doc_id", "p"])
 
-    return table.mapInPandas(score, "doc_id bigint, p double")
+    return table.mapInArrow(score, "doc_id bigint, p double")
 
 
 def residue_ids(documents: DataFrame) -> DataFrame:
