@@ -31,9 +31,9 @@ STRETCH = 6
 SEARCHED = 2 / 3
 #: Insertions and deletions that an offset may drift by between two anchors.
 WOBBLE = 24
-#: Anchors of one item that a candidate has, in boxes of two or more. A document that holds half of an item of twelve stretches has
-#: two of its eight searched ones at least; of the usual twenty, three of fourteen, and one more than that where no word is changed.
-ANCHORS = 3
+#: Anchors of one item that a candidate has, in boxes of two or more. Of the usual twenty stretches fourteen are searched, so a document
+#: that holds half of the item whole has seven of them on average and four at least; shorter items need a sixth of their stretches.
+ANCHORS = 4
 #: An aligned word counts where WINDOW aligned words around it have at least AGREE equal ones.
 WINDOW, AGREE = 14, 12
 #: The share of an item's words that a document must hold.
