@@ -63,8 +63,8 @@ _WORD = re.compile(r"[^\W\d_]+|\d+|[{}<>\[\]$%@#«»]+|_{2,}", re.UNICODE)
 # Each filler and error mark in English has one of these words, each slot mark one of these signs; other passages skip
 # the patterns.
 _CUES = frozenset(
-    "lorem dolor asdf qwerty dummy filler placeholder sample replace blind here quick tbd todo fixme server access permission session enable turn switch activate allow cookies javascript scripts oops loading browser verifying traceback "
-    "connection moment site portal service page sign log temporarily something snag work".split()
+    "lorem dolor asdf qwerty dummy filler placeholder text replace blind here quick tbd todo fixme server denied permission session cookies javascript scripts oops loading browser verifying traceback "
+    "connection just needs requires down closed offline unavailable maintenance available again once temporarily something snag did java".split()
 )
 _SIGNS = re.compile(r"[{}<>«»@#$%\[(]|__|&lt;|[Xx]{2}/|undefined")
 _CODES = re.compile(r"\b[45]\d\d\b|[xX]{4}")
