@@ -15,6 +15,12 @@ pages of few rare words have a second signature, a sample of their runs of LONG
 copies reach each other through one another; and pages with fewer than SPARSE rare words get a third, of hashes of all their
 runs of GRAM words, so pages of common words only are compared too.
 
+Where a group is copied so often that its own words are frequent, the rare words of its pages are their own noise, however many
+they are, and runs seldom outlive noise of a twelfth of the words. So every page also has BANDS keys of ROWS minima each over the
+hashes of all its words. A group as frequent as its words fills the bucket of a key with a good part of its pages; every page of
+such a bucket is compared with the bucket's least and greatest page, if their sketches do not rule it out. Linear in pages: the
+buckets as large as that are few at any corpus size.
+
 Defined results: null texts and pages of under LEAST_WORDS words have no copies; repeated pages are copies; page_id repeated in the
 input counts once; an empty table gives an empty result; texts of any length are compared whole.
 """
@@ -51,6 +57,12 @@ GRAM, SPARSE = 9, 5
 FEW_RARE = 12
 #: Words of a long run, and how many of a page's long runs are its run signature; long runs open at a quarter of the frequent words.
 LONG, RUNS = 9, 8
+#: Bands of all words, and the minima of a band: of a page with a tenth of its words edited a third of the bands are those of the original.
+BANDS, ROWS = 16, 5
+#: The part of the pages that a frequent word is in which a bucket has at least to be a hot one; there are BANDS * FILLED / COMMON hot buckets at most.
+FILLED = 16
+#: Two bits of each minimum are a page's sketch. Dice SIMILAR is 2/3 of all different words; at just SIMILAR, 1 of 20,000 random pairs fell below this.
+LIKELY = 0.45
 #: A word in no more pages than this is never frequent, however small the corpus.
 FEW = 50
 #: Page ids of candidate pairs are broadcast to the second reading of texts up to this number, and joined by shuffle beyond.
@@ -76,6 +88,19 @@ def _whole(text: str) -> str:
     return text
 
 
+_ODD = np.random.default_rng(6).integers(0, 1 << 63, BANDS * ROWS * 2, np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def bands(found: np.ndarray) -> tuple[list[int], list[int]]:
+    """The band keys of a page's word hashes, and its sketch: two bits of every minimum, 32 minima a number."""
+    least = (found.view(np.uint64)[None, :] * _ODD[:, None]).min(axis=1)
+    least = (least ^ (least >> np.uint64(29))) * _MIX
+    keys = np.bitwise_xor.reduce(least[: BANDS * ROWS].reshape(BANDS, ROWS) * _ODD[:ROWS], axis=1) + np.arange(BANDS, dtype=np.uint64)
+    bits = ((least >> np.uint64(62)).reshape(-1, 32) << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return ((keys ^ (keys >> np.uint64(32))) * _MIX).view(np.int64).tolist(), bits.view(np.int64).tolist()
+
+
 def _long_enough(text: str) -> bool:
     return len(text.split(None, LEAST_WORDS)) >= LEAST_WORDS
 
@@ -114,18 +139,21 @@ def frequent_words(texts: DataFrame) -> list[str]:
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """(page_id, sig): the signature of every page, in order of hash, and those of its word runs; stored."""
+    """(page_id, sig, bands, sketch): the signature of every page, in order of hash, and those of its word runs, and in a row of its own its bands; stored."""
     shipped = texts.sparkSession.sparkContext.broadcast(frozenset(frequent_words(texts)))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common = shipped.value
         anchors = frozenset(w for w in common if crc32(w.encode()) % 4 == 0)
         for batch in batches:
-            ids, sigs = [], []
+            ids, sigs, all_ids, all_bands = [], [], [], []
             for page_id, text in zip(batch["page_id"], batch["text"], strict=True):
                 if not _long_enough(text):
                     continue
                 found = words(text)
+                if found:
+                    all_ids.append(page_id)
+                    all_bands.append(bands(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))))
                 rare = found - common
                 if len(rare) >= NEED_WORDS:
                     ids.append(page_id)
@@ -142,9 +170,27 @@ def signatures(texts: DataFrame) -> DataFrame:
                     grams = {" ".join(ws[i : i + GRAM]) for i in range(max(1, len(ws) - GRAM + 1))}
                     ids.append(page_id)
                     sigs.append(sorted(hashed(grams))[:SIGNATURE])
-            yield pd.DataFrame({"page_id": ids, "sig": sigs})
+            none = [None] * len(all_ids)
+            keys, sketches = [b for b, _ in all_bands], [s for _, s in all_bands]
+            yield pd.DataFrame({"page_id": ids + all_ids, "sig": sigs + none, "bands": [None] * len(ids) + keys, "sketch": [None] * len(ids) + sketches})
+
+    return settle(texts.mapInPandas(sign, "page_id bigint, sig array<bigint>, bands array<bigint>, sketch array<bigint>"))
+
 
-    return settle(texts.mapInPandas(sign, "page_id bigint, sig array<bigint>"))
+def crowds(banded: DataFrame) -> DataFrame:
+    """(u, v): every page of a hot bucket with the least and the greatest page of it, without those whose sketches differ too much. banded: page_id, bands, sketch."""
+    pages = banded.count()
+    exploded = banded.select("page_id", F.explode("bands").alias("band"))
+    hubs = exploded.groupBy("band").agg(F.count("*").alias("n"), F.min("page_id").alias("least"), F.max("page_id").alias("most"))
+    hubs = hubs.where(F.col("n") >= max(2, max(FEW, COMMON * pages) / FILLED)).select("band", F.explode(F.array("least", "most")).alias("hub"))
+    hubs = cut(hubs.distinct())
+    ids = hubs.select(F.col("hub").alias("page_id")).distinct()
+    drawn = banded.join(bounded(ids, FEW_IDS), "page_id", "left_semi").groupBy("page_id").agg(F.first("sketch").alias("drawn"))
+    hubs = cut(hubs.join(drawn.withColumnRenamed("page_id", "hub"), "hub"))
+    met = banded.select("page_id", "sketch", F.explode("bands").alias("band")).join(bounded(hubs, FEW_IDS), "band").where("page_id <> hub")
+    words = len(_ODD) // 32
+    apart = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("drawn")[k])) for k in range(words)), F.lit(0))
+    return met.where(apart <= (1 - LIKELY) * len(_ODD)).select(F.least("page_id", "hub").alias("u"), F.greatest("page_id", "hub").alias("v")).distinct()
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,14 +236,17 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def classes(pages: DataFrame) -> DataFrame:
     """(page_id, class_id, links): the class of every page that has a copy, and its links to pages of the class that were compared."""
     texts = eligible(pages)
-    everyone = signatures(texts)
+    signed = signatures(texts)
+    everyone = signed.where("sig is not null").select("page_id", "sig")
+    crowded = crowds(signed.where("bands is not null").select("page_id", "bands", "sketch"))
     # pages of one signature are compared with its least page only; those that agree leave the search to it
     least = everyone.groupBy("sig").agg(F.min("page_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     stars = cut(everyone.join(least, "sig").where("page_id <> rep").select(F.col("rep").alias("u"), F.col("page_id").alias("v")).distinct())
     twins = cut(similar(stars, texts))
     agreed = twins.select(F.col("u").alias("rep"), F.col("v").alias("page_id"))
     reps = everyone.join(least.select("sig", "rep"), "sig", "left").join(agreed, ["rep", "page_id"], "left_anti").select(F.col("page_id").alias("rep"), "sig").distinct()
-    links = cut(twins.unionByName(similar(cut(candidates(reps)), texts)).distinct())
+    found = candidates(reps).unionByName(crowded).distinct().join(twins, ["u", "v"], "left_anti")
+    links = cut(twins.unionByName(similar(cut(found), texts)).distinct())
     member = components(links)
     degree = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     return member.join(degree, "id").select(F.col("id").alias("page_id"), F.col("component").alias("class_id"), "links")

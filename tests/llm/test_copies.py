@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 from dossier.llm import nearcopies
 
 VOCABULARY = [f"w{k}x" for k in range(4000)]
@@ -55,3 +57,20 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert nearcopies.classes(spark.createDataFrame([], "page_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.05, 0.08])
+def test_crowd_of_noisy_copies(spark, share):
+    """A group copied so often that its own words are frequent, each copy with rare words of its own noise only."""
+    rng = random.Random(7)
+    base = FORM + rng.sample(VOCABULARY, 140)
+    pages = [rng.sample(FORM, 50) + rng.sample(VOCABULARY, 120) for _ in range(500)]
+    crowd = [[w if rng.random() > share else f"noise{rng.randrange(10**9)}" for w in base] for _ in range(240)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(pages[:250] + crowd + pages[250:])]
+    ids = range(250, 490)
+    classed = {r.page_id: r.class_id for r in nearcopies.classes(spark.createDataFrame(rows, "page_id bigint, text string")).collect()}
+    assert set(classed) <= set(ids)
+    linked = [(i, j) for i, j in itertools.combinations(ids, 2) if _dice(rows[i][1], rows[j][1]) >= nearcopies.SIMILAR]
+    assert {i for pair in linked for i in pair} == set(ids)
+    most = max(list(classed.values()).count(c) for c in set(classed.values()))
+    assert most >= 0.995 * len(ids)
