@@ -1,13 +1,13 @@
 """Evaluation texts leaking into training text: every document that holds a test item wholly or in good part.
 
-A positional inverted index of the corpus (term, doc_id, position) is stored for the terms of the test items. Each item is cut
-into short stretches, and of each stretch the term rarest in the corpus is its anchor. The anchors' postings are read from the
-index, rarest stretches first, and their positions less the item's own are intersected: a document in which ANCHORS anchors of one
-item fall at common offsets, give or take WOBBLE words, is a candidate. Candidates are checked exactly, on whole texts: words
-of the item count as held where they stand in a stretch of WINDOW aligned words of which nearly all agree.
+A positional inverted index of the corpus (term, doc_id, position) is stored for the terms of the test items, where a term is a run
+of a few words, and every run of an item is an anchor. Positions less the item's own are intersected: a document is a candidate if
+enough anchors of one item fall at common offsets. Candidates are checked exactly, on whole texts: words of the item count as held
+where they stand in a stretch of WINDOW aligned words of which nearly all agree.
 
-The rarest two thirds of an item's stretches are searched: a document that holds half of the stretches holds a sixth of all
-stretches among those at least.
+No document that the exact check accepts is lost: a stretch with AGREE of WINDOW words equal has at most WINDOW - AGREE changed words,
+whichever they are, so its equal words form runs of which some have RUN words, and so many anchors at one offset; and stretches
+that hold SHARE of the item include disjoint ones over half of that length.
 
 Defined results: null and empty texts hold nothing and leak nothing; items without a word are skipped; repeated documents and
 repeated items are each reported; a document of any length is searched whole; empty tables give an empty result.
@@ -16,6 +16,8 @@ repeated items are each reported; a document of any length is searched whole; em
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from functools import reduce
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -25,15 +27,6 @@ from pyspark.sql import types as T
 
 from dossier.session import bounded, cut, settle
 
-#: Words of a stretch; each stretch gives one anchor.
-STRETCH = 6
-#: The part of an item's stretches that is searched, rarest first.
-SEARCHED = 2 / 3
-#: Insertions and deletions that an offset may drift by between two anchors.
-WOBBLE = 24
-#: Anchors of one item that a candidate has, in boxes of two or more. Of the usual twenty stretches fourteen are searched, so a document
-#: that holds half of the item whole has seven of them on average and four at least; shorter items need a sixth of their stretches.
-ANCHORS = 4
 #: An aligned word counts where WINDOW aligned words around it have at least AGREE equal ones.
 WINDOW, AGREE = 14, 12
 #: The share of an item's words that a document must hold.
@@ -48,28 +41,42 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(joined, r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
-def positional_index(corpus: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, doc_id, pos) of the corpus for the terms of the vocabulary, stored. corpus: doc_id, words."""
-    postings = corpus.select("doc_id", F.posexplode("words").alias("pos", "term"))
-    wanted = vocabulary.select("term").distinct()
-    return settle(postings.join(bounded(wanted, SMALL_TERMS), "term", "left_semi").select("term", "doc_id", "pos"))
+def needs(m: int) -> tuple[int, int, int, int, int]:
+    """Of an item of m words: a stretch's width and its least equal words, the words of an anchor, the anchors that any such stretch has
+    at one offset, and the anchors that any document has that holds SHARE of the item."""
+    width = min(WINDOW, m)
+    need = AGREE if width == WINDOW else max(1, int(width * AGREE / WINDOW))
+    runs = width - need + 1  # the changed words part the equal ones into so many runs at most
+    run = -(-need // runs)
+    least = need - runs * (run - 1)
+    return width, need, run, least, least * max(1, ceil(SHARE * m / (2 * width) - 1e-9))
 
 
-def anchors(items: DataFrame, index: DataFrame) -> DataFrame:
-    """(item_id, stretch, term, at): the rarest term of each searched stretch and its position in the item."""
-    frequency = index.groupBy("term").agg(F.count("*").alias("n"))
-    rows = items.select("item_id", F.posexplode("words").alias("at", "term")).withColumn("stretch", F.floor(F.col("at") / STRETCH))
-    ranked = rows.join(frequency, "term").groupBy("item_id", "stretch").agg(F.min(F.struct("n", "at", "term")).alias("a"))
-    order = F.row_number().over(_by("item_id", F.col("a.n"), F.col("stretch")))
-    size = F.count("*").over(_by("item_id"))
-    return ranked.withColumn("k", order).withColumn("m", size).where(F.col("k") <= F.ceil(F.col("m") * SEARCHED)).select("item_id", "stretch", "a.term", "a.at")
+def runs_of(words: Column, run: int) -> Column:
+    """A hash for each word's run of so many words; those past the end are of fewer words and equal no whole run."""
+    return F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, run)]))
 
 
-def _by(key: str, *order: Column):
-    from pyspark.sql import Window
+def positional_index(corpus: DataFrame, vocabulary: DataFrame, lengths: list[int]) -> DataFrame:
+    """(term, run, doc_id, pos) of the corpus for the terms of the vocabulary, stored. corpus: doc_id, words. vocabulary: term, run."""
+    wanted = bounded(vocabulary.select("term", "run").distinct(), SMALL_TERMS)
+    found = [corpus.select("doc_id", F.posexplode(runs_of(F.col("words"), n)).alias("pos", "term")).join(wanted.where(F.col("run") == n), "term") for n in lengths]
+    return settle(reduce(DataFrame.unionByName, found).select("term", "run", "doc_id", "pos"))
 
-    w = Window.partitionBy(key)
-    return w.orderBy(*order) if order else w
+
+@F.udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("run", "least", "all")]))
+def _needs(m):
+    return needs(m)[2:]
+
+
+def anchors(items: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(item_id, run, least, all, term, at) and the lengths of runs: every run of the item's words, and how many a stretch and a document need. items: item_id, words."""
+    sized = cut(items.select("item_id", "words", _needs(F.size("words")).alias("n")).select("item_id", "words", "n.*"))
+    lengths = [r.run for r in sized.select("run").distinct().collect()]  # four values at most
+    if not lengths:
+        return sized.select("item_id", "run", "least", "all", F.lit(0).cast("bigint").alias("term"), F.lit(0).alias("at")), lengths
+    whole = [sized.where(F.col("run") == n).select("item_id", "run", "least", "all", F.size("words").alias("m"), F.posexplode(runs_of(F.col("words"), n)).alias("at", "term")).where(F.col("at") <= F.col("m") - n).drop("m") for n in lengths]
+    return cut(reduce(DataFrame.unionByName, whole)), lengths
 
 
 def held(item: list[str], doc: list[str]) -> float:
@@ -110,15 +117,12 @@ def leaks(corpus: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share): the documents that hold an item, with the share of its words held. corpus: doc_id, text; items: item_id, text."""
     corpus = corpus.select("doc_id", terms(F.col("text")).alias("words"))
     items = items.select("item_id", terms(F.col("text")).alias("words")).where("size(words) > 0")
-    index = positional_index(corpus, items.select(F.explode("words").alias("term")))
-    chosen = cut(anchors(items, index))
-    hits = index.join(bounded(chosen, SMALL_TERMS), "term").select("item_id", "doc_id", "stretch", (F.col("pos") - F.col("at")).alias("offset"))
-    # each hit is put into two overlapping offset boxes, so that two hits within WOBBLE share one
-    boxes = hits.select("item_id", "doc_id", "stretch", F.explode(F.array(F.floor(F.col("offset") / (2 * WOBBLE)) * 2, F.floor((F.col("offset") + WOBBLE) / (2 * WOBBLE)) * 2 + 1)).alias("box"))
-    candidates = boxes.groupBy("item_id", "doc_id", "box").agg(F.collect_set("stretch").alias("at")).where("size(at) >= 2")
-    candidates = candidates.groupBy("item_id", "doc_id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
-    sizes = items.select("item_id", F.least(F.lit(ANCHORS), F.ceil(F.size("words") / STRETCH / 6)).cast("int").alias("least"))
-    candidates = candidates.join(sizes, "item_id").where("size(at) >= least").select("item_id", "doc_id")
+    chosen, lengths = anchors(items)
+    index = positional_index(corpus, chosen, lengths or [1])
+    hits = index.join(bounded(chosen, SMALL_TERMS), ["term", "run"]).select("item_id", "doc_id", "least", "all", "at", (F.col("pos") - F.col("at")).alias("offset"))
+    aligned = hits.groupBy("item_id", "doc_id", "least", "all", "offset").agg(F.collect_set("at").alias("at")).where(F.size("at") >= F.col("least"))
+    candidates = aligned.select("item_id", "doc_id", "all", F.explode("at").alias("at")).distinct().groupBy("item_id", "doc_id", "all").agg(F.count("*").alias("n"))
+    candidates = candidates.where(F.col("n") >= F.col("all")).select("item_id", "doc_id")
     share = _held.asNondeterministic()("item_words", "words")  # so that the filter on it does not compute it again
     pairs = candidates.join(items.select("item_id", F.col("words").alias("item_words")), "item_id").join(corpus, "doc_id")
     return pairs.select("doc_id", "item_id", share.alias("share")).where(F.col("share") >= SHARE)

@@ -49,3 +49,19 @@ def test_broken_words_count(spark):
     docs = spark.createDataFrame([(1, text.replace("godown", "go-\ndown").replace("received", "recei­\nved"))], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, text)], "item_id bigint, text string")
     assert leakage.leaks(docs, items).first().share > 0.95
+
+
+def test_changed_anchor_words(spark):
+    """The rarest word of nearly every stretch is changed; held() accepts what is left."""
+    rng = random.Random(4)
+    items = [[f"z{i}y{k}" if k % 7 == 3 else rng.choice(WORDS) for k in range(110)] for i in range(6)]
+    docs = []
+    for k in range(30):
+        part = [f"changed{k}" if w.startswith("z") else w for w in items[k % 6][7:75]]
+        docs.append((k, " ".join([rng.choice(WORDS) for _ in range(60)] + part + [rng.choice(WORDS) for _ in range(40)])))
+    assert all(leakage.held(items[k % 6], t.split()) >= leakage.SHARE for k, t in docs)
+    docs += [(100 + i, " ".join(t)) for i, t in enumerate(items)]  # the changed words are the rarest of the corpus
+    corpus = spark.createDataFrame(docs, "doc_id bigint, text string")
+    tests = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(corpus, tests).collect()}
+    assert got == {(k, k % 6) for k in range(30)} | {(100 + i, i) for i in range(6)}
