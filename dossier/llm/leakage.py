@@ -84,24 +84,23 @@ def held(item: list[str], doc: list[str]) -> float:
     m = len(item)
     if not m or not doc:
         return 0.0
+    width, need, run, least, _ = needs(m)
     places = defaultdict(list)
-    wanted = set(item)
-    for j, w in enumerate(doc):
-        if w in wanted:
-            places[w].append(j)
+    for i in range(m - run + 1):
+        places[tuple(item[i : i + run])].append(i)
+    starts = {w[0] for w in places}
     votes: Counter = Counter()
-    for i, w in enumerate(item):
-        for j in places.get(w, ()):
-            votes[j - i] += 1
+    for j, w in enumerate(doc):
+        if w in starts:
+            for i in places.get(tuple(doc[j : j + run]), ()):
+                votes[j - i] += 1
     covered = np.zeros(m, bool)
-    for delta, n in votes.most_common(60):
-        if n < AGREE:
-            break
+    for delta, n in votes.items():  # an offset with a stretch of need equal words has so many whole runs
+        if n < least:
+            continue
         lo, hi = max(0, -delta), min(m, len(doc) - delta)
         same = np.zeros(m, bool)
         same[lo:hi] = [item[i] == doc[i + delta] for i in range(lo, hi)]
-        width = min(WINDOW, m)
-        need = AGREE if width == WINDOW else max(1, int(width * AGREE / WINDOW))
         sums = np.convolve(same, np.ones(width, int), "valid")
         for s in np.nonzero(sums >= need)[0]:
             covered[s : s + width] |= same[s : s + width]

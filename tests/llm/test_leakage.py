@@ -65,3 +65,34 @@ def test_changed_anchor_words(spark):
     tests = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in leakage.leaks(corpus, tests).collect()}
     assert got == {(k, k % 6) for k in range(30)} | {(100 + i, i) for i in range(6)}
+
+
+def _held_at_every_offset(item, doc):
+    m, covered = len(item), set()
+    width = min(leakage.WINDOW, m)
+    need = leakage.AGREE if width == leakage.WINDOW else max(1, int(width * leakage.AGREE / leakage.WINDOW))
+    for delta in range(-m, len(doc)):
+        same = [0 <= i + delta < len(doc) and item[i] == doc[i + delta] for i in range(m)]
+        for s in range(m - width + 1):
+            if sum(same[s : s + width]) >= need:
+                covered |= {i for i in range(s, s + width) if same[i]}
+    return len(covered) / m
+
+
+def test_held_visits_every_offset():
+    rng = random.Random(9)
+    item = [f"w{k}" for k in range(110)]
+    often = item[:20] + ["end"]
+    pieces = [w for k in range(22, 108, 16) for w in [*item[k : k + 14], f"part{k}"]]
+    assert leakage.held(item, often * 90 + pieces) == _held_at_every_offset(item, often * 90 + pieces) >= leakage.SHARE
+    for m in (*range(1, 16), 30, 60):
+        item = [rng.choice(WORDS) for _ in range(m)]
+        for _ in range(20):
+            doc = [rng.choice(WORDS) for _ in range(10)] + [w if rng.random() > 0.12 else "changed" for w in item] + [rng.choice(WORDS) for _ in range(10)]
+            assert leakage.held(item, doc) == _held_at_every_offset(item, doc)
+
+
+def test_short_item(spark):
+    corpus = spark.createDataFrame([(1, "one two fee slab paragraph unit sales pays relief asked nine ten"), (2, "nothing of it")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "fee slab paragraph unit sales pays"), (2, "Relief")], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(corpus, items).collect()} == {(1, 1), (1, 2)}
