@@ -2,7 +2,8 @@
 
 Every distinct string is rewritten to a profile by rules (titles, numbering and legal forms recognised, trade words and office
 types expanded from abbreviations and initials, nicknames mapped to given names, token order undone, sound-alike letters folded).
-A profile is exploded into all its canonical forms - the name with each one letter left out, and its halves - and forms are
+A profile is exploded into all its canonical forms - the name with each one letter left out, with each two left out where two edits are
+allowed, and its halves - and forms are
 equi-joined. A shared form counts by its rarity, -log of the share of profiles that have it, less the cost of the rewritings; an
 exact comparison of the two profiles follows. Incomplete profiles (an initial, no middle name, no leading word) attach only to a
 party that is unambiguous.
@@ -14,6 +15,7 @@ letter is left after the rules stand alone.
 
 from __future__ import annotations
 
+import itertools
 import re
 from functools import lru_cache
 
@@ -259,7 +261,8 @@ def _office(name: str) -> dict | None:
 
 
 def forms_of(p: dict) -> list[tuple[str, float]]:
-    """All canonical forms of a profile with the cost of the rewriting: the own part whole, with each one letter out, and its halves."""
+    """All canonical forms of a profile with the cost of the rewriting: the own part whole, with each one letter out,
+    with each two out where agree() accepts two edits - strings of two edits share one such form - and its halves."""
     own, half = p["own"], (len(p["own"]) + 1) // 2
     heads = [f"{p['cls']}/{t}" for t in (p["trade"].split("|") if p["trade"] else [""])]
     if p["cls"] == "person":
@@ -269,6 +272,9 @@ def forms_of(p: dict) -> list[tuple[str, float]]:
         out[f"{head}/{own}"] = 0.0
         for k in range(len(own)):
             out.setdefault(f"{head}/{own[:k]}{own[k + 1:]}", 1.0)
+        if len(own) >= 7 and p["cls"] != "office":
+            for j, k in itertools.combinations(range(len(own)), 2):
+                out.setdefault(f"{head}/{own[:j]}{own[j + 1:k]}{own[k + 1:]}", 2.0)
         if half >= 4:
             out.setdefault(f"{head}/^{own[:half]}", 2.0)
             out.setdefault(f"{head}/{own[-half:]}$", 2.0)

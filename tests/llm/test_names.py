@@ -63,3 +63,9 @@ def test_components_against_union_find(spark):
     linked = {x for u, v in edges if u != v for x in (u, v)}
     got = {r.id: r.component for r in components(spark.createDataFrame(edges * 2 + [(None, 3)], "u bigint, v bigint")).collect()}
     assert got == {x: find(x) for x in linked}
+
+
+def test_two_edits_in_different_halves(spark):
+    pair = ["Silver Jogolzupa Printing Press Private Limited", "Silver_Jgoolzupa_Printing_Press_Pvt_Ltd"]
+    got = names.same_party_pairs(names.parties(spark.createDataFrame([("bidder", n) for n in pair], "kind string, name string"))).collect()
+    assert [tuple(r) for r in got] == [("bidder", *pair)]
