@@ -44,8 +44,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per page that has copies: its class, and the links between different texts of the class."""
-    return nearcopies.classes(table(spark, sf_dir, "page_results"))
+    """One row per page that has copies: its class, its links, its file, and whether that is the file of the class's first page."""
+    pages = table(spark, sf_dir, "page_results")
+    return nearcopies.with_files(nearcopies.classes(pages), pages)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

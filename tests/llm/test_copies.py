@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from dossier.llm import nearcopies
@@ -48,11 +49,7 @@ def test_against_brute_force(spark):
     for i, j in linked:
         parent[max(find(i), find(j))] = min(find(i), find(j))
     want = {(i, j) for i, j in itertools.combinations(range(len(pages)), 2) if find(i) == find(j)}
-    assert got - want == set()
-    crowd = {(i, j) for i, j in want if find(i) == find(0)}  # copied so often that its own words are frequent
-    others = want - crowd
-    assert len(others - got) <= 0.002 * len(others)
-    assert len(crowd - got) <= 0.05 * len(crowd)
+    assert got == want
 
 
 def test_empty(spark):
@@ -72,5 +69,39 @@ def test_crowd_of_noisy_copies(spark, share):
     assert set(classed) <= set(ids)
     linked = [(i, j) for i, j in itertools.combinations(ids, 2) if _dice(rows[i][1], rows[j][1]) >= nearcopies.SIMILAR]
     assert {i for pair in linked for i in pair} == set(ids)
-    most = max(list(classed.values()).count(c) for c in set(classed.values()))
-    assert most >= 0.995 * len(ids)
+    assert {classed.get(i) for i in ids} == {250}
+
+
+@pytest.mark.parametrize("word", ["plain{}x", "{}"])
+def test_one_page_of_many_copies(spark, word):
+    """160 copies among 600 pages, each with 6 % of its words edited; with digits in the words and without. Every close pair is found."""
+    rng = random.Random(5)
+    letters = lambda k: "".join(chr(97 + (k // 26**j) % 26) for j in range(4))
+    vocabulary = [word.format(k if "x" in word else letters(k)) for k in range(4000)]
+    form = vocabulary[:60]
+    pages = [rng.sample(form, 30) + rng.sample(vocabulary, 110) for _ in range(440)]
+    pages += [[w if rng.random() > 0.06 else rng.choice(vocabulary) for w in pages[0]] for _ in range(160)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(pages)]
+    got = {tuple(r) for r in nearcopies.copy_pairs(nearcopies.classes(spark.createDataFrame(rows, "page_id bigint, text string"))).collect()}
+    close = {(i, j) for (i, a), (j, b) in itertools.combinations(rows, 2) if _dice(a, b) >= nearcopies.SIMILAR}
+    assert len(close) > 12_000
+    assert close <= got
+
+
+def test_matrix_closes_no_reaching_block():
+    """The bound of a block's union is never below the overlap with a member, also where words share bits."""
+    rng = random.Random(3)
+    for n in (70, 400, 3000):
+        a = {f"w{rng.randrange(2 * n)}" for _ in range(n)}
+        members = [{f"w{rng.randrange(2 * n)}" for _ in range(n)} for _ in range(5)]
+        row = nearcopies.bits_of(nearcopies.hashed(a))
+        union = np.bitwise_or.reduce([nearcopies.bits_of(nearcopies.hashed(m)) for m in members])
+        bound = int(np.bitwise_count(row & union).sum()) + len(a) - int(np.bitwise_count(row).sum())
+        assert bound >= max(len(a & m) for m in members)
+
+
+def test_files_of_a_class(spark):
+    page = " ".join(f"w{k}" for k in range(90))
+    frame = spark.createDataFrame([(1, page, "Annexure-2.pdf"), (2, page, "annexure_3.PDF"), (3, page, "scan.pdf"), (4, page, None), (5, "w1", "x")], "page_id bigint, text string, source_file string")
+    got = {r.page_id: (r.class_id, r.same_file) for r in nearcopies.with_files(nearcopies.classes(frame), frame).collect()}
+    assert got == {1: (1, True), 2: (1, True), 3: (1, False), 4: (1, False)}
