@@ -21,6 +21,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.same_party_pairs(names.parties(_typed_names(spark, sf_dir)))
 
 
+def p1_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per spelling: its party, and its links to other spellings."""
+    return names.parties(_typed_names(spark, sf_dir)).where("party is not null")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.noisy_lines(table(spark, sf_dir, "page_results"), table(spark, sf_dir, "page_documents"))
 
@@ -72,5 +77,5 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_replaced": p4_replaced, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean}
+QUERIES = {"p1_found": p1_found, "p1_parties": p1_parties, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_replaced": p4_replaced, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean}
 SQL: dict[str, str] = {}

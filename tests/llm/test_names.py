@@ -32,6 +32,50 @@ def test_parties(spark):
     assert got == want
 
 
+#: Names of no list: given names, firms and offices the rules have never seen.
+UNLISTED = {
+    "bidder": [
+        ["Rahul Sharma", "R. Sharma", "Sharma, Rahul", "Sharma Rahul", "Shri Rahul Sharma"], ["Prakash Iyer"], ["William Johnson", "Bill Johnson", "Johnson, Bill"],
+        ["Mehta Brothers", "Mehta Bros.", "M/s MEHTA BROS"], ["Tata Consultancy Services Ltd", "TCS Limited", "T.C.S. Ltd"], ["Hudson Bay Trading Company", "Hudson Bay Trading Co."],
+    ],
+    "buyer": [["Northern Railway", "NORTHERN  RAILWAY", "The Northern Railwey"], ["Ministry of Defence", "The Ministry of Defence", "Ministry of Defense"], ["Chief Engineer, Pune", "C.E. Pune", "Office of the Chief Engineer (Pune)"], ["Chief Engineer, Nashik"]],
+}
+
+
+def test_unlisted_names(spark):
+    rows = [(kind, n) for kind, groups in UNLISTED.items() for g in groups for n in g]
+    got = {tuple(r) for r in names.same_party_pairs(names.parties(spark.createDataFrame(rows, "kind string, name string"))).collect()}
+    want = {(kind, *sorted(p, key=lambda s: s.encode())) for kind, groups in UNLISTED.items() for g in groups for p in itertools.combinations(g, 2)}
+    assert got == want
+
+
+def test_learned_trades_and_rarity(spark):
+    rows = [("bidder", f"Own{a}{b}kel Plumbing Works") for a in "abcdefg" for b in "abcde"] + [("bidder", f"Given{a}{b} Verma") for a in "abcdefg" for b in "abcdefg"]
+    frame = spark.createDataFrame(rows, "kind string, name string")
+    assert names.learned_trades(frame) == ["plumbing"]
+    profiles = names.profiles_of(frame)
+    assert {r.trade for r in profiles.where("cls = 'firm'").collect()} == {"plumbing"}
+
+
+def test_a_common_rewriting_is_no_link(spark):
+    """A form that most profiles share costs more than its rarity gives."""
+    profile = names.profile_of("bidder", "Silver Jogolzupa Traders")
+    rows = [(k, "bidder", [("shared", 4.0)], *[profile[c] for c in names.PROFILE]) for k in range(30)] + [(100 + k, "bidder", [("rare", 2.0)], *[profile[c] for c in names.PROFILE]) for k in range(2)]
+    schema = "pid bigint, kind string, forms array<struct<form:string,cost:double>>, " + ", ".join(f"{c} string" for c in names.PROFILE)
+    assert [(r.u, r.v) for r in names.links_of(spark.createDataFrame(rows, schema)).collect()] == [(100, 101)]
+
+
+@pytest.mark.parametrize(("a", "b"), [("x" * 300, "x" * 150 + "y" + "x" * 149), ("abcdefghijklmnopqrstuvwxyzabcd", "abcdefghijkmnopqrstuvwxyzacd"), ("abcdefg", "bacdegf"), ("abcdefgh", "abdfgh")])
+def test_forms_meet_within_two_edits(a, b):
+    assert names.near(a, b, 2) <= 2
+    assert set(names._out(a, True)) & set(names._out(b, True))
+
+
+def test_ambiguous_tiers(spark):
+    frame = spark.createDataFrame([("bidder", n) for n in ["Rahul Sharma", "Rakesh Sharma", "R. Sharma", "Tata Consultancy Services Ltd", "Tuna Canning Services Ltd", "TCS Ltd"]], "kind string, name string")
+    assert names.same_party_pairs(names.parties(frame)).count() == 0
+
+
 def test_ambiguous_initial_is_left_alone(spark):
     frame = spark.createDataFrame([("bidder", n) for n in ["Surendra Nath Chejehosa", "Sanjeevan Das Chejehosa", "Mr S Chejehosa"]], "kind string, name string")
     assert names.same_party_pairs(names.parties(frame)).count() == 0
