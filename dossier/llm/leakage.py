@@ -6,8 +6,8 @@ enough anchors of one item fall at common offsets. Candidates are checked exactl
 where they stand in a stretch of WINDOW aligned words of which nearly all agree.
 
 No document that the exact check accepts is lost: a stretch with AGREE of WINDOW words equal has at most WINDOW - AGREE changed words,
-whichever they are, so its equal words form runs of which some have RUN words, and so many anchors at one offset; and stretches
-that hold SHARE of the item include disjoint ones over half of that length.
+whichever they are, so its equal words form runs of which some are long enough to be anchors; needs() gives the least number of
+anchors at one offset, and the least part of the held words that anchors cover. Texts are read again for candidates only.
 
 Defined results: null and empty texts hold nothing and leak nothing; items without a word are skipped; repeated documents and
 repeated items are each reported; a document of any length is searched whole; empty tables give an empty result.
@@ -16,6 +16,7 @@ repeated items are each reported; a document of any length is searched whole; em
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from fractions import Fraction
 from functools import reduce
 from math import ceil
 
@@ -43,13 +44,19 @@ def terms(text: Column) -> Column:
 
 def needs(m: int) -> tuple[int, int, int, int, int]:
     """Of an item of m words: a stretch's width and its least equal words, the words of an anchor, the anchors that any such stretch has
-    at one offset, and the anchors that any document has that holds SHARE of the item."""
+    at one offset, and the words that anchors cover in any document that holds SHARE of the item, summed over offsets.
+
+    The changed words of a stretch part its equal words into runs; all but one may be a word too short for an anchor. Where stretches
+    overlap, any three changed words stand WINDOW apart, so of two neighbouring runs inside only one is short: the least part covered
+    is that of runs of 3, 3, 9, 3 and 3 words, 9 of 21."""
     width = min(WINDOW, m)
     need = AGREE if width == WINDOW else max(1, int(width * AGREE / WINDOW))
-    runs = width - need + 1  # the changed words part the equal ones into so many runs at most
+    runs = width - need + 1
     run = -(-need // runs)
     least = need - runs * (run - 1)
-    return width, need, run, least, least * max(1, ceil(SHARE * m / (2 * width) - 1e-9))
+    alone = need - (runs - 1) * (run - 1)  # covered words of a stretch alone
+    part = Fraction(alone, need) if m <= WINDOW else Fraction(3, 7)
+    return width, need, run, least, max(alone, ceil(Fraction(SHARE).limit_denominator(1000) * m * part))
 
 
 def runs_of(words: Column, run: int) -> Column:
@@ -64,18 +71,18 @@ def positional_index(corpus: DataFrame, vocabulary: DataFrame, lengths: list[int
     return settle(reduce(DataFrame.unionByName, found).select("term", "run", "doc_id", "pos"))
 
 
-@F.udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("run", "least", "all")]))
+@F.udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("run", "least", "cover")]))
 def _needs(m):
     return needs(m)[2:]
 
 
 def anchors(items: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(item_id, run, least, all, term, at) and the lengths of runs: every run of the item's words, and how many a stretch and a document need. items: item_id, words."""
+    """(item_id, run, least, cover, term, at) and the lengths of runs: every run of the item's words, and what a stretch and a document need. items: item_id, words."""
     sized = cut(items.select("item_id", "words", _needs(F.size("words")).alias("n")).select("item_id", "words", "n.*"))
     lengths = [r.run for r in sized.select("run").distinct().collect()]  # four values at most
     if not lengths:
-        return sized.select("item_id", "run", "least", "all", F.lit(0).cast("bigint").alias("term"), F.lit(0).alias("at")), lengths
-    whole = [sized.where(F.col("run") == n).select("item_id", "run", "least", "all", F.size("words").alias("m"), F.posexplode(runs_of(F.col("words"), n)).alias("at", "term")).where(F.col("at") <= F.col("m") - n).drop("m") for n in lengths]
+        return sized.select("item_id", "run", "least", "cover", F.lit(0).cast("bigint").alias("term"), F.lit(0).alias("at")), lengths
+    whole = [sized.where(F.col("run") == n).select("item_id", "run", "least", "cover", F.size("words").alias("m"), F.posexplode(runs_of(F.col("words"), n)).alias("at", "term")).where(F.col("at") <= F.col("m") - n).drop("m") for n in lengths]
     return cut(reduce(DataFrame.unionByName, whole)), lengths
 
 
@@ -114,14 +121,16 @@ def _held(items: pd.Series, docs: pd.Series) -> pd.Series:
 
 def leaks(corpus: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share): the documents that hold an item, with the share of its words held. corpus: doc_id, text; items: item_id, text."""
-    corpus = corpus.select("doc_id", terms(F.col("text")).alias("words"))
+    worded = corpus.select("doc_id", terms(F.col("text")).alias("words"))
     items = items.select("item_id", terms(F.col("text")).alias("words")).where("size(words) > 0")
     chosen, lengths = anchors(items)
-    index = positional_index(corpus, chosen, lengths or [1])
-    hits = index.join(bounded(chosen, SMALL_TERMS), ["term", "run"]).select("item_id", "doc_id", "least", "all", "at", (F.col("pos") - F.col("at")).alias("offset"))
-    aligned = hits.groupBy("item_id", "doc_id", "least", "all", "offset").agg(F.collect_set("at").alias("at")).where(F.size("at") >= F.col("least"))
-    candidates = aligned.select("item_id", "doc_id", "all", F.explode("at").alias("at")).distinct().groupBy("item_id", "doc_id", "all").agg(F.count("*").alias("n"))
-    candidates = candidates.where(F.col("n") >= F.col("all")).select("item_id", "doc_id")
+    index = positional_index(worded, chosen, lengths or [1])
+    hits = index.join(bounded(chosen, SMALL_TERMS), ["term", "run"]).select("item_id", "doc_id", "run", "least", "cover", "at", (F.col("pos") - F.col("at")).alias("offset"))
+    aligned = hits.groupBy("item_id", "doc_id", "run", "least", "cover", "offset").agg(F.collect_set("at").alias("at")).where(F.size("at") >= F.col("least"))  # at most an item's words
+    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x, x + F.col("run") - 1)))))
+    candidates = aligned.select("item_id", "doc_id", "cover", covered.alias("n")).groupBy("item_id", "doc_id", "cover").agg(F.sum("n").alias("n")).where(F.col("n") >= F.col("cover"))
+    candidates = cut(candidates.select("item_id", "doc_id"))
+    texts = corpus.select("doc_id", "text").join(bounded(candidates.select("doc_id").distinct(), SMALL_TERMS), "doc_id", "left_semi")
     share = _held.asNondeterministic()("item_words", "words")  # so that the filter on it does not compute it again
-    pairs = candidates.join(items.select("item_id", F.col("words").alias("item_words")), "item_id").join(corpus, "doc_id")
+    pairs = candidates.join(bounded(items.select("item_id", F.col("words").alias("item_words"))), "item_id").join(texts.select("doc_id", terms(F.col("text")).alias("words")), "doc_id")
     return pairs.select("doc_id", "item_id", share.alias("share")).where(F.col("share") >= SHARE)

@@ -96,3 +96,29 @@ def test_short_item(spark):
     corpus = spark.createDataFrame([(1, "one two fee slab paragraph unit sales pays relief asked nine ten"), (2, "nothing of it")], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, "fee slab paragraph unit sales pays"), (2, "Relief")], "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in leakage.leaks(corpus, items).collect()} == {(1, 1), (1, 2)}
+
+
+def test_least_cover():
+    """Whatever words are changed, anchors cover at least the part of the held words that needs() gives, over all offsets."""
+    rng = random.Random(3)
+    for m in (4, 6, 10, 12, 13, 14, 15, 25, 30, 60):
+        item = [f"w{k}" for k in range(m)]
+        width, need, run, least, cover = leakage.needs(m)
+        for _ in range(400):
+            share = rng.choice((0.05, 0.12, 0.16))
+            doc = [w if rng.random() > share else "changed" for w in item]
+            if m == 25 and rng.random() < 0.2:
+                doc = [w if k not in (3, 7, 17, 21) else "changed" for k, w in enumerate(item)]
+            if leakage.held(item, doc) < leakage.SHARE:
+                continue
+            at = [i for i in range(m - run + 1) if doc[i : i + run] == item[i : i + run]]
+            assert len(at) >= least
+            assert len({i + k for i in at for k in range(run)}) >= cover
+
+
+def test_exactly_half(spark):
+    item = [f"w{k}" for k in range(112)]
+    docs = [(k, " ".join([f"a{k}"] * 30 + item[at : at + 28] + ["between"] * 9 + item[at + 28 : at + 56] + ["after"])) for k, at in enumerate((0, 20, 56))]
+    docs.append((9, " ".join(item[:50])))
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.share) for r in got} == {(0, 0.5), (1, 0.5), (2, 0.5)}
