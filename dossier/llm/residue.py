@@ -1,13 +1,18 @@
 """Template residue and error-page text: records with unfilled placeholders, filler, or a web page's message in place of content.
 
-Positive-unlabelled naive Bayes. A text is cut into passages (lines and sentences). Passages with an unmistakable mark are trusted
-positives; all others are unlabelled. Expectation-maximisation over every passage of the corpus estimates the word distributions
-of residue and of content: trusted passages keep probability one, the others are re-scored each round. Words and word pairs are
-hashed into a fixed number of buckets, so the model that travels between tasks and driver has one size for any corpus. A record
-is residue if any of its passages is.
+Positive-unlabelled naive Bayes. A text is cut into passages (lines and sentences). Passages with one of a few unmistakable marks
+(SEEDS) are trusted positives; all others are unlabelled. Expectation-maximisation over every passage of the corpus estimates the
+distributions of words, word pairs and shapes (a word between signs, doubled signs, rows of X) in residue and in content: trusted
+passages keep probability one, the others are re-scored each round until the expected number of residue passages stands still. So
+the model finds the kinds of residue that no seed names, by the sentences, words and shapes that they share with others. Features are
+hashed into a fixed number of buckets, so what travels between tasks and driver has one size for any corpus. A record is residue if
+any of its passages is.
+
+Estimates are smoothed towards the whole corpus, so that a feature says nothing until it has been seen, whatever its rarity.
 
 Defined results: null and empty texts are content; repeated texts get equal decisions; very long texts are scored passage by
-passage; an empty table gives an empty result; without any trusted passage nothing is residue.
+passage; a passage of one word is residue only if it is trusted; an empty table gives an empty result; without any trusted passage
+nothing is residue.
 """
 
 from __future__ import annotations
@@ -24,103 +29,124 @@ from pyspark.sql import functions as F
 from dossier.session import settle
 
 BUCKETS = 1 << 19
-ROUNDS = 4
-#: Additive smoothing: small, so that words never seen in residue speak for content.
-SMOOTHING = 0.02
+#: Rounds end when the expected residue passages change by less than this part, or after MOST_ROUNDS.
+STILL, MOST_ROUNDS = 1e-3, 12
+#: Every class counts so many features of the whole corpus besides its own.
+SMOOTHING = 50.0
 #: Residue needs this probability.
 THRESHOLD = 0.9
 
-#: An untrusted passage of fewer features than this says too little to be called residue.
-LEAST_FEATURES = 6
-
 #: Ends of passages: line breaks, sentence ends (but not 'Rs.') and the reference number that closes a heading.
-_BREAKS = re.compile(r"\n+|(?<=[.!?।])(?<!\bRs\.)(?<!\bNo\.)\s+|(?<=/\d{4}-\d{2})\s+(?=[A-Z{\[<«@_%$#])")
-
-# Marks that only template residue and web messages have.
-SLOT_MARKS = [
-    r"\{\{[^{}\n]*\}\}", r"\{%[^\n]*?%\}", r"\$\{[^{}\n]*\}", r"#\{[^{}\n]*\}", r"<<[^<>\n]{1,60}>>", r"«[^«»\n]{1,60}»", r"&lt;%[^\n]*?%&gt;", r"<%[^\n]*?%>", r"&lt;&lt;[^\n]{1,60}?&gt;&gt;",
-    r"@@\w+@@", r"__[A-Za-z][A-Za-z_]*__", r"%[A-Z][A-Z_]{2,}%", r"\$\$\w+\$\$", r"#(?:REF|N/A|VALUE|NAME\?|DIV/0)!?", r"#{4,}", r"\{\d{1,2}\}", r"<[a-z]+(?:[ _][a-z]+){1,4}>", r"%\([a-z_]+\)[sd]",
-    r"\[(?i:insert|enter|your|name of|type|add|fill|put|select|specify)\b[^\]\n]{0,60}\]", r"\[[A-Z]{2,}(?:[ _][A-Z]+){1,5}\]", r"\([^()\n]{0,60}\bto be (?:entered|inserted|filled|typed) here\)", r"\b[Xx]{2}/[Xx]{2}/(?:[Xx]{2,4}|20[Xx]{2})\b",
-    r"(?<!\w)undefined(?!\w)(?=[ ,.]*(?:$|\bas\b|\bhas\b|\band\b|\binclusive\b|\byour\b|\bauthorised\b|,))", r"\[object Object\]",
-]
-FILLER_MARKS = [
-    r"(?i)\blorem ipsum\b", r"(?i)\bdolor sit amet\b", r"(?i)\bx{4,}(?:\s+x{4,}){2,}", r"(?i)\b(?:asdf|qwerty)\b\s+\b(?:asdf|qwerty|test)\b", r"(?i)\b(?:dummy|filler|placeholder) (?:content|text|copy)\b", r"(?i)^\W*sample text\b",
-    r"(?i)\breplace this (?:paragraph|text|sentence|section) with\b", r"(?i)\bblind copy\b.*\bcolumn\b", r"(?i)\b(?:your )?text (?:goes )?here\b\W*$", r"(?i)^\W*(?:type|enter|write|put) (?:the|your) [\w ]{2,30} here\b", r"(?i)^\W*[\w ]{2,30} goes here\b", r"(?i)\bquick brown fox\b", r"(?i)^\W*(?:TBD|TODO|FIXME)\b",
-]
-ERROR_MARKS = [
-    r"(?i)\b(?:400|401|403|404|405|408|410|429|500|501|502|503|504)\b\s*[:\-|]?\s*(?:bad request|unauthori[sz]ed|forbidden|not found|page not found|method not allowed|request timeout|gone|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|error)\b",
-    r"(?i)\b(?:requested|this) (?:url|page|document|resource|file) (?:could|was|can) ?not (?:be )?\w+ (?:found )?on this server", r"(?i)(?:^|help |login )access (?:is |was )?denied[.!]", r"(?i)\byou do not have permission to (?:view|access|open)\b", r"(?i)\byour session (?:has|had|is) (?:been )?(?:expired|timed out|ended|closed|over)\b",
-    r"(?i)\b(?:please )?(?:enable|turn on|switch on|activate|allow) (?:javascript|java script|scripts|cookies)\b(?! in the browser and)", r"(?i)\bcookies must be (?:switched on|enabled|turned on|allowed)\b", r"(?i)\bjavascript is (?:disabled|off|required|turned off|switched off)\b", r"(?i)\bthis (?:page|site|portal) (?:needs|requires) (?:scripts|javascript)\b",
-    r"(?i)\boops!", r"(?i)^\W*loading\b[^.\n]{0,40}\.\.\.", r"(?i)\bloading document viewer\b", r"(?i)\bchecking your browser\b", r"(?i)\bverifying you are human\b", r"(?i)\btraceback\b\s*[:(]", r"(?i)\bconnection to (?:the )?database (?:timed out|failed|was lost)\b", r"(?i)\bjust a moment\.\.\.",
-    r"(?i)\bthe (?:site|portal|service|page) is (?:down|closed|offline|unavailable|under maintenance|not available)\b(?: for| till| until|\W*$)", r"(?i)\b(?:sign|log) in (?:again|once more) to continue\b", r"(?i)\btemporarily unavailable\b",
-    r"जावास्क्रिप्ट\s+(?:चालू|सक्षम)", r"त्रुटि\s*(?:[४५]०|[45]0)", r"(?i)\b(?:something went wrong|we hit a snag|that did not work) while\b", r"(?:सत्र|सेशन)\s+(?:समाप्त|खत्म)",
-]
-_TRUSTED = re.compile("|".join(f"(?:{m})" for m in SLOT_MARKS))
-_LOWER = re.compile("|".join(f"(?:{m.replace('(?i)', '')})" for m in (*FILLER_MARKS, *ERROR_MARKS)), re.I)
+_BREAKS = re.compile(r"\n+|(?<=[.!?।])(?<!\bRs\.)(?<!\bNo\.)\s+|(?<=/\d{4}-\d{2})\s+")
+
+# Marks that only residue has, enough to start from; what else there is the model finds.
+SEEDS = {
+    "slot": [r"\{\{[^{}\n]*\}\}", r"\[(?:insert|enter|your|name of|type|add|fill|put|select|specify)\b[^\]\n]{0,60}\]"],
+    "filler": [
+        r"\blorem ipsum\b", r"\bx{4,}(?:\s+x{4,}){2,}", r"\b(?:asdf|qwerty)\b\s+\b(?:asdf|qwerty|test)\b", r"\b(?:dummy|filler|placeholder) (?:content|text|copy)\b", r"\breplace this (?:paragraph|text|sentence|section) with\b",
+        r"\bblind copy\b.*\bcolumn\b", r"\b(?:your )?text (?:goes )?here\b\W*$", r"^\W*(?:type|enter|write|put) (?:the|your) [\w ]{2,30} here\b",
+    ],
+    "message": [
+        r"\b(?:400|401|403|404|405|408|410|429|500|501|502|503|504)\b\s*[:\-|]?\s*(?:bad request|unauthori[sz]ed|forbidden|not found|page not found|method not allowed|request timeout|gone|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|error)\b",
+        r"\byour session (?:has|had|is) (?:been )?(?:expired|timed out|ended|closed|over)\b", r"\b(?:please )?(?:enable|turn on|switch on|activate|allow) (?:javascript|java script|scripts|cookies)\b(?! in the browser and)", r"\bcookies must be (?:switched on|enabled|turned on|allowed)\b",
+        r"\bchecking your browser\b", r"\bverifying you are human\b", r"\btraceback\b\s*[:(]", r"\bconnection to (?:the )?database (?:timed out|failed|was lost)\b", r"\bjust a moment\.\.\.", r"\bsomething went wrong while\b",
+        r"\bthe (?:site|portal|service|page) is (?:down|closed|offline|unavailable|under maintenance|not available)\b(?: for| till| until|\W*$)", r"जावास्क्रिप्ट\s+(?:चालू|सक्षम)", r"त्रुटि\s*(?:[४५]०|[45]0)", r"(?:सत्र|सेशन)\s+(?:समाप्त|खत्म)",
+    ],
+}
 _WORD = re.compile(r"[^\W\d_]+|\d+|[{}<>\[\]$%@#«»]+|_{2,}", re.UNICODE)
-
-
-# Each filler and error mark in English has one of these words, each slot mark one of these signs; other passages skip
-# the patterns.
+# Each seed in English has one of these words or signs; other passages skip the patterns.
 _CUES = frozenset(
-    "lorem dolor asdf qwerty dummy filler placeholder text replace blind here quick tbd todo fixme server denied permission session cookies javascript scripts oops loading browser verifying traceback "
-    "connection just needs requires down closed offline unavailable maintenance available again once temporarily something snag did java".split()
+    "lorem asdf qwerty dummy filler placeholder replace blind here session javascript java scripts cookies browser verifying traceback database moment wrong down closed offline unavailable maintenance available".split()
 )
-_SIGNS = re.compile(r"[{}<>«»@#$%\[(]|__|&lt;|[Xx]{2}/|undefined")
-_CODES = re.compile(r"\b[45]\d\d\b|[xX]{4}")
+_SIGNS = re.compile(r"\{\{|\[|\b[45]\d\d\b|[xX]{4}")
+#: Shapes: signs of programs around a word, by one on each side or more, around capitals; doubled signs; rows of X in place of figures.
+_SIGN = r"[{}<>\[\]«»%$@#&\\^~=_]"
+_SHAPED = re.compile(r"[{}<>\[\]«»%$@#_&\\^~]|[xX]{2}")
+_AROUND = re.compile(rf"({_SIGN}{{1,3}}[;!]?)[ ]?([A-Za-z0-9][\w .;%-]{{0,60}}?)[ ]?({_SIGN}{{1,3}})")
+_DOUBLED = re.compile(r"([#$@%])\1+|(?<!_)__(?!_)")
+_ROW = re.compile(r"\b[xX]{2,}(?:/[xX]{2,}|/\d*[xX]+)")
+
+
+def marks(seeds: dict[str, list[str]] = SEEDS) -> re.Pattern:
+    """One pattern for all seeds."""
+    return re.compile("|".join(f"(?:{m})" for ms in seeds.values() for m in ms) or r"(?!)", re.I)
+
 
+_MARKS = marks()
 
-def trusted(passage: str) -> bool:
+
+def trusted(passage: str, pattern: re.Pattern = _MARKS) -> bool:
     """Whether the passage has an unmistakable mark of residue."""
-    if _SIGNS.search(passage) and _TRUSTED.search(passage):
-        return True
-    if passage.isascii() and _CUES.isdisjoint(_WORD.findall(passage.lower())) and not _CODES.search(passage):
+    if passage.isascii() and not _SIGNS.search(passage) and _CUES.isdisjoint(_WORD.findall(passage.lower())):
         return False
-    return bool(_LOWER.search(passage))
+    return bool(pattern.search(passage))
+
+
+def shapes(passage: str) -> list[str]:
+    """The shapes of a passage, each as a feature."""
+    if not _SHAPED.search(passage):
+        return []
+    out = []
+    for m in _AROUND.finditer(passage):
+        out.append("shape around")
+        if len(m.group(1)) > 1 and len(m.group(3)) > 1:
+            out.append("shape around by several")
+        if m.group(2).isupper():
+            out.append("shape around capitals")
+    if _DOUBLED.search(passage):
+        out.append("shape doubled")
+    if _ROW.search(passage):
+        out.append("shape row")
+    return [x for x in out for _ in range(3)]  # a shape weighs as much as a word and its pairs
 
 
 #: Numbers of the marks that open and close a passage, below those of words.
 OPEN, CLOSE = 0, 1
 
 
-def numbers(words: list[str], memory: dict[str, int]) -> list[int]:
-    """The words' hashes between the marks that open and close a passage; all figures are one word."""
+def numbers(words: list[str], memory: dict[str, int], shaped: list[str] = ()) -> list[int]:
+    """The words' hashes between the marks that open and close a passage, then those of its shapes; all figures are one word."""
     out = [OPEN]
-    for w in words:
+    for k, w in enumerate([*words, None, *shaped] if shaped else words):
+        if w is None:
+            out.append(CLOSE)
+            continue
         n = memory.get(w)
         if n is None:
             if len(memory) > 500_000:
                 memory.clear()
             n = memory[w] = 2 + crc32(b"9" if w[0].isdigit() else w.encode()) % (2**31 - 3)
         out.append(n)
-    out.append(CLOSE)
+    if not shaped:
+        out.append(CLOSE)
     return out
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memory: dict[str, int] = {}
-    for batch in batches:
-        ids, flags, flat, ends = [], [], [], [0]
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for passage in _BREAKS.split(text):
-                if not passage or passage.isspace():
-                    continue
-                words = _WORD.findall(passage.lower())
-                sure = bool(_SIGNS.search(passage) and _TRUSTED.search(passage))
-                if not sure and not (passage.isascii() and _CUES.isdisjoint(words) and not _CODES.search(passage)):
-                    sure = bool(_LOWER.search(passage))
-                ids.append(doc_id)
-                flags.append(sure)
-                flat += numbers(words, memory)
-                ends.append(len(flat))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(flags, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=["doc_id", "trusted", "w"]
-        )
-
-
-def passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, trusted, w): the words of every passage as numbers."""
-    return documents.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_featurise, "doc_id bigint, trusted boolean, w array<int>")
+def _featurise(pattern: re.Pattern):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory: dict[str, int] = {}
+        for batch in batches:
+            ids, flags, flat, ends = [], [], [], [0]
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for passage in _BREAKS.split(text):
+                    if not passage or passage.isspace():
+                        continue
+                    words = _WORD.findall(passage.lower())
+                    known = passage.isascii() and _CUES.isdisjoint(words) and not _SIGNS.search(passage)
+                    ids.append(doc_id)
+                    flags.append(not known and bool(pattern.search(passage)))
+                    flat += numbers(words, memory, shapes(passage))
+                    ends.append(len(flat))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(flags, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=["doc_id", "trusted", "w"]
+            )
+
+    return read
+
+
+def passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", seeds: dict[str, list[str]] = SEEDS) -> DataFrame:
+    """(doc_id, trusted, w): the words and shapes of every passage as numbers."""
+    return documents.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_featurise(marks(seeds)), "doc_id bigint, trusted boolean, w array<int>")
 
 
 def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +172,7 @@ def _posterior(model: tuple[np.ndarray, float] | None, flags: np.ndarray, sizes:
         return flags.astype(float)
     ratio, prior = model
     score = np.bincount(of, weights=ratio[buckets], minlength=len(flags)) / np.maximum(1.0, sizes / 40.0) + prior
-    score = np.where(sizes < LEAST_FEATURES, -60.0, score)
+    score = np.where(sizes <= 3, -60.0, score)  # one word
     return np.where(flags, 1.0, 1.0 / (1.0 + np.exp(-np.clip(score, -60, 60))))
 
 
@@ -175,38 +201,42 @@ def _counts(table: DataFrame, model: tuple[np.ndarray, float] | None) -> tuple[n
     return yes, no, float(n.yes.sum()), float(n.no.sum())
 
 
-def learn(table: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float] | None:
+def learn(table: DataFrame) -> tuple[np.ndarray, float] | None:
     """(log ratio by bucket, prior log odds), or None without a trusted passage. table as from passages(), settled by the caller."""
-    model = None
-    for _ in range(rounds):
+    model, before = None, 0.0
+    for _ in range(MOST_ROUNDS):
         yes, no, n_yes, n_no = _counts(table, model)
         if n_yes <= 0:
             return None
-        p = (yes + SMOOTHING) / (yes.sum() + SMOOTHING * BUCKETS)
-        q = (no + SMOOTHING) / (no.sum() + SMOOTHING * BUCKETS)
+        whole = (yes + no) / (yes + no).sum()
+        p = (yes + SMOOTHING * whole + 1e-12) / (yes.sum() + SMOOTHING)
+        q = (no + SMOOTHING * whole + 1e-12) / (no.sum() + SMOOTHING)
         model = ((np.log(p) - np.log(q)).astype(np.float32), float(np.log(n_yes + 1) - np.log(n_no + 1)))
+        if abs(n_yes - before) <= STILL * n_yes:
+            break
+        before = n_yes
     return model
 
 
 def scored(table: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
-    """(doc_id, p): the probability of residue of every passage."""
+    """(doc_id, p, trusted): the probability of residue of every passage, and whether a mark made it certain."""
     shipped = table.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_posterior(shipped.value, *_features(batch)))], names=["doc_id", "p"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_posterior(shipped.value, *_features(batch))), batch.column("trusted")], names=["doc_id", "p", "trusted"])
 
-    return table.mapInArrow(score, "doc_id bigint, p double")
+    return table.mapInArrow(score, "doc_id bigint, p double, trusted boolean")
 
 
-def residue_ids(documents: DataFrame) -> DataFrame:
-    """(doc_id, p): the records with residue and the greatest probability of their passages."""
-    table = settle(passages(documents))
-    return scored(table, learn(table)).groupBy("doc_id").agg(F.max("p").alias("p")).where(F.col("p") >= THRESHOLD)
+def residue_ids(documents: DataFrame, seeds: dict[str, list[str]] = SEEDS) -> DataFrame:
+    """(doc_id, p, trusted): the records with residue, the greatest probability of their passages, and whether any has a trusted mark;
+    the others are found by the model alone."""
+    table = settle(passages(documents, seeds=seeds))
+    return scored(table, learn(table)).groupBy("doc_id").agg(F.max("p").alias("p"), F.bool_or("trusted").alias("trusted")).where(F.col("p") >= THRESHOLD)
 
 
 def without_residue(documents: DataFrame) -> DataFrame:
     """The corpus without its residue records, all columns kept."""
     return documents.join(residue_ids(documents).select("doc_id"), "doc_id", "left_anti")
-

@@ -8,7 +8,10 @@ GOOD = ["The contractor shall deploy {} workers for pest control.", "Damage caus
 BAD = ["Dear {{bidder_name}}, your offer has been registered.", "For and on behalf of [YOUR COMPANY], signatory.", "Loading document viewer... please wait", "404 Not Found", "Access denied. You do not have permission to view /bids/3.", "Lorem ipsum dolor sit amet velit nunc", "This is to certify that <<NAME OF FIRM>> has executed the job.", "xxxx xxxxx xxxx xxxx", "Amount payable: #REF! only", "Your session has expired. Log in once more.", "कृपया इस पृष्ठ को देखने के लिए जावास्क्रिप्ट चालू करें।"]
 
 
-@pytest.mark.parametrize("text", BAD)
+SEEDED = ["Dear {{bidder_name}}, your offer has been registered.", "404 Not Found", "Lorem ipsum dolor sit amet velit nunc", "xxxx xxxxx xxxx xxxx", "Your session has expired. Log in once more.", "कृपया इस पृष्ठ को देखने के लिए जावास्क्रिप्ट चालू करें।", "The scope: [insert scope of work]"]
+
+
+@pytest.mark.parametrize("text", SEEDED)
 def test_trusted(text):
     assert residue.trusted(text)
 
@@ -21,10 +24,11 @@ def test_not_trusted(text):
 def test_records(spark):
     rng = random.Random(4)
     rows, bad = [], set()
+    seeded = [x for x in BAD if residue.trusted(x)]
     for k in range(700):
         lines = [rng.choice(GOOD).format(rng.randrange(99)) for _ in range(rng.randrange(2, 7))]
         if k % 9 == 0:
-            lines.insert(rng.randrange(len(lines) + 1), rng.choice(BAD))
+            lines.insert(rng.randrange(len(lines) + 1), rng.choice(seeded))
             bad.add(k)
         rows.append((k, "\n".join(lines), "kept"))
     filler = "velit ipsum nunc dolor amet sit erat quam odio vitae felis arcu justo porta".split()
@@ -39,3 +43,31 @@ def test_records(spark):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - bad
     assert residue.residue_ids(documents.limit(0)).count() == 0
     assert residue.residue_ids(documents.where("doc_id in (1, 2, 900)")).count() == 0
+
+
+SLOTS = ["{{firm}}", "[Insert name]", "<<NAME OF FIRM>>", "«firm_address»", "${contract_value}", "@@work_order@@", "%TENDER_NO%", "#REF!", "__BIDDER_NAME__", "<bidder name>", "&lt;%= buyer %&gt;", "XX/XX/20XX"]
+FRAMES = ["Dear {}, your offer has been registered with us.", "This is to certify that {} has executed the above job to our satisfaction.", "Amount payable against this order: {} inclusive of all taxes.", "For and on behalf of {}, authorised signatory.", "Last day of receipt of offers is {} as per the notice."]
+MESSAGES = ["404 Not Found", "The requested document could not be located on this server.", "Access denied.", "You do not have permission to view this page.", "Your session has expired.", "Sign in again to continue.", "Oops!", "Something went wrong while loading this page.", "This page needs scripts.", "Please turn on JavaScript."]
+HIDDEN = [*SLOTS[2:], MESSAGES[1], MESSAGES[2], MESSAGES[3], MESSAGES[5], MESSAGES[8]]
+
+
+def test_hidden_families(spark):
+    """No seed has a mark of the families in HIDDEN: the model finds at least nine in ten of their records, and no content."""
+    rng = random.Random(8)
+    rows, hidden = [], {}
+    for k in range(2500):
+        lines = [rng.choice(GOOD).format(rng.randrange(99)) for _ in range(rng.randrange(2, 7))]
+        if k % 7 == 0:
+            lines.insert(1, rng.choice(FRAMES).format(slot := rng.choice(SLOTS)))
+            hidden[k] = slot in HIDDEN
+        elif k % 11 == 0:
+            lines = rng.sample(MESSAGES, 3)
+            hidden[k] = not any(residue.trusted(x) for x in lines)
+        rows.append((k, "\n".join(lines)))
+    assert not any(residue.trusted(x) for x in HIDDEN)
+    found = {r.doc_id: r.trusted for r in residue.residue_ids(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    unseeded = {k for k, h in hidden.items() if h}
+    assert len(unseeded) > 200
+    assert set(found) <= set(hidden)
+    assert len(unseeded & set(found)) >= 0.9 * len(unseeded)
+    assert not any(found[k] for k in unseeded & set(found))
