@@ -1,9 +1,17 @@
 """Personal information inside free text: spans found by weak supervision, replaced by typed placeholders.
 
-Generous patterns propose spans; for each span labelers (pattern, gazetteer, left and right context, place on the line) vote for,
-against, or abstain. The votes of all spans of the corpus are counted by vote pattern; expectation-maximisation on these counts
-estimates how reliable each labeler is for each kind, and a logistic classifier is trained on the estimated labels. It decides
-every span. Only the table of vote patterns, whose size is bounded by the labelers (3 votes each), reaches the driver.
+Spans are proposed widely: by patterns of addresses, numbers and electronic addresses, by any run of digits of a telephone number's
+length, by given names and initials, and by any sequence of capitalised words. For each span labelers (pattern, gazetteer, left and
+right context, place on the line, words of firms and offices) vote for, against, or abstain. The votes of all spans of the corpus,
+also of those no labeler votes for, are counted by vote pattern; expectation-maximisation on these counts estimates how reliable
+each labeler is for each kind.
+
+A logistic classifier is then trained on the estimated labels of a sample of SAMPLE spans a kind. It sees the votes, and besides
+them the words around the span, its own words, and its shape, all hashed into DIMENSIONS numbers. Every sampled span is shown twice,
+the second time without the gazetteer's votes and without its own words, so that the context alone carries it and names of no list
+are found too. The classifier decides every span that a labeler votes for; spans without such a vote are none.
+
+What reaches the driver is bounded: the table of vote patterns (3 votes a labeler) and the sample.
 
 Kinds: email, phone, person, address, id_number. Spans may run over a line end; words broken there are read as one.
 
@@ -16,7 +24,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -25,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.llm.confusions import variants
-from dossier.llm.names import MIDDLES, NICKNAMES, OPENERS, TRADE_TAILS, TRADES
+from dossier.llm.names import MIDDLES, NICKNAMES, OPENERS, TITLES, TRADE_TAILS, TRADES
 from dossier.session import settle
 
 KINDS = ("email", "phone", "person", "address", "id_number")
@@ -33,6 +43,10 @@ KINDS = ("email", "phone", "person", "address", "id_number")
 FREE_TEXT = ("consignee", "penalty", "workcompleted", "performance", "undertakingtype", "compliancenote")
 #: Vote patterns are few; more than this would mean that labelers were added without need.
 MOST_PATTERNS = 100_000
+#: Spans of a kind that the classifier is trained on, and the numbers of its features; those below FIRST_WORD are votes.
+SAMPLE, DIMENSIONS, FIRST_WORD = 20_000, 1 << 14, 64
+#: One in so many of the spans without a vote for them is kept for the sample.
+KEPT = 16
 
 J = "⁠"  # stands for the hyphen and the line end of a broken word, so that places stay the same
 _BREAK = re.compile(r"(?<=[^\W\d_])[-‐‑­]\n(?=[^\W\d_])")
@@ -42,11 +56,14 @@ _EMAIL = re.compile(rf"[\w.+\-{J}]+\s?(?:@|\(at\)|\[at\])\s?[\w\-{J}]+(?:(?:\.|\
 _PHONE = re.compile(r"(?<![\w/.,₹\-])(?:\+91[ \n-]?)?(?:\(\d{3,5}\)[ \n-]?\d{6,8}|\d{3}-\d{3}-\d{4}|\d{5}[ \n]\d{5}|0\d{5}-\d{5}|\d{10}|91\d{10})(?![\w\-]|[/,.]\d)")
 _ID = re.compile(r"(?<![\w\-])(?:[A-Z]{5}\d{4}[A-Z]|[A-Z]{3}\d{7}|[A-Z]\d{7}|[A-Z]{2}[- ]?\d{13}|\d{4}([ \n-])\d{4}[ \n-]\d{4}|\d{12})(?![\w\-])")
 _ADDRESS = re.compile(
-    rf"(?<![\w/])(?:H\.?\s?No\.?\s\d+|F[l1i]at\s(?:No\.?\s)?\d+|P[l1i]ot\s(?:No\.?\s)?\d+|[S5]hop\s(?:No\.?\s)?\d+|House\s(?:No\.?\s)?\d+|\d{{1,4}}/\d{{1,4}},|V[i1l][l1i]{{2}}age\s{_W}+,)"
+    rf"[HFPSV0-9](?<![\w/].)(?:(?<=H)\.?\s?No\.?\s\d+|(?<=F)[l1i]at\s(?:No\.?\s)?\d+|(?<=P)[l1i]ot\s(?:No\.?\s)?\d+|(?<=[S5])hop\s(?:No\.?\s)?\d+|(?<=H)ouse\s(?:No\.?\s)?\d+|(?<=\d)\d{{0,3}}/\d{{1,4}},|(?<=V)[i1l][l1i]{{2}}age\s{_W}+,)"
 )
 _ADDRESS_TAIL = re.compile(rf"\s*[\w\-]*,?\s{_W}+(?:\s{_W}+)?\s(?:Street|Marg|Road|Lane|Apartments|Nagar|Colony|Enclave|Bazar)|[\w\-]*,\sSector\s\d+|\s?P\.?\s?O\.?\s{_W}+|[^\n]{{0,40}}\b\d{{6}}\b")
 _ADDRESS_END = re.compile(rf"(?:,\s?(?:(?:near|opp\.?|behind)(?:\s{_W}+){{1,3}}|PIN\s\d{{6}}|P\.?\s?O\.?\s{_W}+|[A-Z]{_W}+(?:\s(?:Road|Street|Marg|Apartments))?)|\s?-\s?\d{{6}}|\s\d{{6}})*")
-_CAPITAL = re.compile(rf"(?<![\w@])[A-Z](?:[\w@{J}]+|\.)")
+_CAPITAL = re.compile(rf"[A-Z](?<![\w@].)(?:[\w@{J}]+|\.)")
+#: Where telephone and identity numbers can be: the patterns above begin with what does not stand before them, which is slow to look for everywhere.
+_REGION = re.compile(r"\d[\d ()\-\n]{6,}\d")
+_FOUR = re.compile(r"\d{4,}")
 _NEXT_INITIAL = re.compile(rf"\s?([A-Z])\.")
 
 _GIVEN = variants(tuple(NICKNAMES))
@@ -66,6 +83,12 @@ _NOT_PHONE = re.compile(r"(?:no\.?|folio|udin|frn|rs\.?|inr|₹|gstin|paper|hold
 _ID_LEFT = re.compile(r"(?:paper|holding|licen[cs]e|card|passport|aadhaar|uid|pan|account number(?: card)?|identity)\s*(?:no\.?|number)?\s*:?\s*\(?\s*$", re.I)
 _NOT_ID = re.compile(r"(?:gstin|udin|udyam|membership|frn|enlistment|tender|contract|bid|tel|ph|mob|charge:?|alternate|call)\b[^\n]{0,12}$", re.I)
 _EMAIL_LEFT = re.compile(r"(?:e-?mail(?: id)?|write|sent\s?to|mail|contact)\s*:?\s*$", re.I)
+#: Digits and what stands between them in telephone numbers, for runs that no pattern above has.
+_DIGITS = re.compile(r"(?<![\w/.,₹\-])\+?\(?\d[\d ()\-]{6,16}\d(?![\w\-]|[/,.]\d)")
+_DATE = re.compile(r"\d{1,2}-\d{1,2}-\d{2,4}|\d{4}-\d{1,2}-\d{1,2}|\d{4}-\d{2,4}")
+_OFFICER = re.compile(r"\s*,?\s*\(?(?:director|partner|proprietor|manager|secretary|authori[sz]ed signatory|chartered accountant|engineer|president|chairman|executive officer)\b", re.I)
+# Capitalised words that open a sentence or a field before a name.
+_NO_GIVEN = frozenset({*TITLES, *"contact signed name provider unit details undersigned and from with recorded enterprise date to by in on at as of this that all any please witness father mother son daughter wife".split()})
 _ADDRESS_LEFT = re.compile(r"(?:posted\s?to|residing\s?at|business|address|resident\s?of|located\s?at|at)\s*:?\s*$", re.I)
 
 
@@ -73,8 +96,18 @@ def _sign(yes, no=False) -> int:
     return 1 if yes else -1 if no else 0
 
 
-def spans(text: str) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
-    """(kind, start, end, votes) of every proposed span of a text."""
+def _inside(pattern: re.Pattern, flat: str, regions: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """The matches of the pattern in regions that hold all of them, from left to right."""
+    last = -1
+    for start, end in regions:
+        for m in pattern.finditer(flat, start, end):
+            if m.start() >= last:
+                last = m.end()
+                yield m
+
+
+def spans(text: str, given_names: frozenset[str] = _GIVEN) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
+    """(kind, start, end, votes) of every proposed span of a text. given_names: the gazetteer."""
     if not text:
         return
     flat = _BREAK.sub(J + J, text)
@@ -83,38 +116,58 @@ def spans(text: str) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
         for m in _EMAIL.finditer(flat):
             got = m.group()
             yield "email", m.start(), m.end(), (_sign(_EMAIL_LEFT.search(left(m.start()))), _sign("@" in got and " " not in got), _sign(len(re.split(r"\.|dot", got)[-1].strip("] )")) >= 2, True))
-    for m in _PHONE.finditer(flat):
+    taken = set()
+    regions = [(max(0, m.start() - 8), m.end() + 4) for m in _REGION.finditer(flat)]
+    for m in _inside(_PHONE, flat, regions):
         before, digits = left(m.start()), re.sub(r"\D", "", m.group())
-        yield "phone", m.start(), m.end(), (_sign(_PHONE_LEFT.search(before), _NOT_PHONE.search(before)), _sign(len(digits) in (10, 11, 12), True), _sign(len(m.group()) > len(digits) or digits[0] in "56789" and len(digits) == 10 or digits.startswith("91")))
-    for m in _ID.finditer(flat):
+        taken.add(m.start())
+        yield "phone", m.start(), m.end(), (_sign(_PHONE_LEFT.search(before), _NOT_PHONE.search(before)), _sign(len(digits) in (10, 11, 12), True), _sign(len(m.group()) > len(digits) or digits[0] in "56789" and len(digits) == 10 or digits.startswith("91")), 0)
+    for m in _inside(_DIGITS, flat, regions):
+        if m.start() in taken:
+            continue
+        before, digits = left(m.start()), re.sub(r"\D", "", m.group())
+        date = bool(_DATE.search(m.group()))
+        yield "phone", m.start(), m.end(), (_sign(not date and _PHONE_LEFT.search(before), _NOT_PHONE.search(before)), _sign(False, not 8 <= len(digits) <= 12), _sign(False, date), -1)
+    for m in _inside(_ID, flat, [(max(0, m.start() - 8), m.end() + 14) for m in _FOUR.finditer(flat)]):
         before, got = left(m.start()), m.group()
         long = got.isdigit()
         yield "id_number", m.start(), m.end(), (_sign(_ID_LEFT.search(before), _NOT_ID.search(before)), _sign(not long, long and got.startswith("91")), _sign(got[:5].isalpha() or "licence" in before.lower() or bool(m.group(1))))
     for m in _ADDRESS.finditer(flat):
-        tail = _ADDRESS_TAIL.match(flat, m.end() if not m.group().endswith(",") else m.end())
-        rest = flat[m.end() : m.end() + 90].replace("\n", " ")
+        tail = _ADDRESS_TAIL.match(flat, m.end())
+        rest = flat[m.end() : flat.find("\n\n", m.end()) % (len(flat) + 1)].replace("\n", " ") if "\n\n" in flat else flat[m.end() :].replace("\n", " ")
         end = tail.end() if tail else m.end()
         end = _ADDRESS_END.match(flat, end).end()
         alone = not flat[flat.rfind("\n", 0, m.start()) + 1 : m.start()].strip()
         yield "address", m.start(), end, (_sign(tail, True), _sign(_ADDRESS_LEFT.search(left(m.start())) or alone), _sign(re.match(r"[^.]*?\b\d{6}\b|[^.]*,\s[A-Z]\w+", rest), True))
-    yield from _persons(flat, left)
+    yield from _persons(flat, left, given_names)
+
+
+_TITLE_ENDS = ("shri", "sri", "smt", "mrs", "mr", "ms", "dr", "kum", "prop", "ca", "(")
 
 
-def _persons(flat: str, left) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
+def _titled(flat: str, start: int) -> bool:
+    """Whether a title may stand before this place: a quick look before the pattern is tried."""
+    return flat[max(0, start - 7) : start].rstrip(" .\n").lower().endswith(_TITLE_ENDS)
+
+
+def _persons(flat: str, left, given_names: frozenset[str]) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
     tokens = [(m.group(), m.start(), m.end()) for m in _CAPITAL.finditer(flat)]
     taken = -1
     for k, (word, start, end) in enumerate(tokens):
         if start < taken:
             continue
         plain = word.replace(J, "").lower()
-        given = plain in _GIVEN
+        given = plain in given_names
         initial = word[1:] == "."
-        if not given and not initial and plain not in _NICK:
+        listed = given or initial or plain in _NICK and given_names is _GIVEN
+        if not listed and (len(plain) < 3 or not plain.isalpha() or plain in _NO_SURNAME or plain in _NO_GIVEN or plain in _FIRM):
+            continue
+        if not listed and not (k + 1 < len(tokens) and tokens[k + 1][1] - end <= 2) and not _titled(flat, start):
             continue
         if initial and (start and flat[start - 1] in "./" or flat[end : end + 1] not in (" ", "\n")):
             continue
         parts, stop, middle = [], end, False
-        for nxt, a, b in tokens[k + 1 : k + 5]:
+        for nxt, a, b in tokens[k + 1 : k + 5]:  # a middle name, and what may break up in between
             gap = flat[stop:a]
             if gap not in (" ", "\n", " \n", "\n ") or len(parts) == 2 and not initial:
                 break
@@ -131,21 +184,42 @@ def _persons(flat: str, left) -> Iterator[tuple[str, int, int, tuple[int, ...]]]
                 continue
             if len(nxt) < 3 and not nxt.isupper():
                 break
+            if not listed and low in given_names:
+                break
             parts.append(low)
             stop = b
             break
+        before = left(start)
+        honorific = _titled(flat, start) and _HONORIFIC.search(before)
+        if not parts and (initial or not listed and not honorific):
+            continue
         after = re.match(r"[ \n]?([A-Za-z]+)", flat[stop : stop + 16])
         firm = bool(parts and parts[-1] in _FIRM or after and after.group(1).lower() in _FIRM and after.group(1)[0].isupper())
-        if initial and not parts:
-            continue
-        before = left(start)
         line_start, line_end = flat.rfind("\n", 0, start) + 1, flat.find("\n", stop)
-        whole = not flat[line_start:start].strip(" (") and not flat[stop : line_end if line_end >= 0 else len(flat)].strip(" ),")
+        whole = given and not flat[line_start:start].strip(" (") and not flat[stop : line_end if line_end >= 0 else len(flat)].strip(" ),")
         yield "person", start, stop, (
-            _sign(given, initial), _sign(parts, not parts), _sign(middle and not initial), _sign(_HONORIFIC.search(before)), _sign(_PERSON_LEFT.search(before)),
-            _sign(_PERSON_RIGHT.match(flat, stop)), _sign(whole and given), _sign(False, firm),
+            _sign(given, initial), _sign(parts and listed, not parts), _sign(middle and not initial), _sign(honorific), _sign(_PERSON_LEFT.search(before)),
+            _sign(_PERSON_RIGHT.match(flat, stop)), _sign(whole), _sign(False, firm), _sign(_OFFICER.match(flat, stop)),
         )
-        taken = stop
+        if listed:  # a sequence of no listed name may overlap the next one: both are judged
+            taken = stop
+
+
+_NEAR_WORD = re.compile(r"[^\W_]+")
+
+
+def features(text: str, kind: str, start: int, end: int, votes: tuple[int, ...], context_only: bool = False) -> list[int]:
+    """The numbers of a span's features: its votes, the two words before it and the word after it, its own words, and its shape."""
+    out = [3 * j + v + 1 for j, v in enumerate(votes) if not (context_only and j < 3 and v > 0 and kind == "person")]
+    before = _NEAR_WORD.findall(text[max(0, start - 40) : start])[-2:]
+    after = _NEAR_WORD.match(text[end : end + 24].lstrip(" \n.,:;()-"))
+    own = text[start:end]
+    words = [f"l{k}:{w.lower()}" for k, w in enumerate(reversed(before))] + ([f"r:{after.group().lower()}"] if after else ["r:"])
+    shape = re.sub(r"[A-Z]", "A", re.sub(r"[a-z]+", "a", re.sub(r"\d", "9", own[:40])))
+    words.append(f"s:{shape if kind != 'person' else re.sub(r'A+', 'A', shape)}")
+    if kind == "person" and not context_only:
+        words += [f"i:{w.lower()}" for w in _NEAR_WORD.findall(own)]
+    return out + [FIRST_WORD + crc32(w.encode()) % (DIMENSIONS - FIRST_WORD) for w in words]
 
 
 def line_numbers(text: str) -> list[int]:
@@ -157,21 +231,31 @@ def _label(kind: str, votes: tuple[int, ...]) -> str:
 
 
 def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    unwanted: Counter = Counter()
     for batch in batches:
         rows = []
         for src, row_id, text in zip(batch["src"], batch["row_id"], batch["text"], strict=True):
             ends = None
-            for kind, start, _, votes in spans(text):
+            for kind, start, end, votes in spans(text):
+                pattern = _label(kind, votes)
+                voted = 1 in votes
+                if not voted:
+                    unwanted[pattern] += 1
+                    if crc32(f"{row_id}/{start}".encode()) % KEPT:
+                        continue
                 if ends is None:
                     ends = [m.start() for m in re.finditer("\n", text)]
-                rows.append((src, row_id, kind, bisect_right(ends, start - 1) + 1 if start else 1, _label(kind, votes)))
-        yield pd.DataFrame(rows, columns=["src", "row_id", "kind", "line_no", "pattern"])
+                line = bisect_right(ends, start - 1) + 1 if start else 1
+                rows.append((src, row_id, kind, line, pattern, 1 if voted else 0, features(text, kind, start, end, votes), features(text, kind, start, end, votes, True) if crc32(f"{row_id}:{start}".encode()) % KEPT == 0 or not voted else None))
+        yield pd.DataFrame(rows, columns=["src", "row_id", "kind", "line_no", "pattern", "n", "x", "context"])
+    yield pd.DataFrame([(None, None, p.split(":")[0], None, p, n, None, None) for p, n in unwanted.items()], columns=["src", "row_id", "kind", "line_no", "pattern", "n", "x", "context"])
 
 
 def proposals(texts: DataFrame) -> DataFrame:
-    """(src, row_id, kind, line_no, pattern) of every proposed span, stored. texts: src, row_id, text."""
-    rows = texts.where("text is not null and text <> ''").select("src", "row_id", "text")
-    return settle(rows.mapInPandas(_find, "src string, row_id bigint, kind string, line_no bigint, pattern string"))
+    """(src, row_id, kind, line_no, pattern, n, x, context), stored: every proposed span that a labeler votes for (n is 1), a part of the
+    others (n is 0), and the number of all others by vote pattern (src is null). texts: src, row_id, text."""
+    rows = texts.where("text is not null and text <> ''").select("src", F.col("row_id").cast("bigint").alias("row_id"), "text")
+    return settle(rows.mapInPandas(_find, "src string, row_id bigint, kind string, line_no bigint, pattern string, n bigint, x array<int>, context array<int>"))
 
 
 def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 25) -> np.ndarray:
@@ -194,40 +278,67 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 25) -> np
     return p
 
 
-def classifier(votes: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Logistic weights (bias, then one for each labeler's yes and no) fitted to the estimated labels, each pattern once per span."""
-    x = np.hstack([np.ones((len(votes), 1)), votes == 1, votes == -1]).astype(float)
-    w = np.zeros(x.shape[1])
-    share = counts / counts.sum()
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ w))
-        gradient = x.T @ (share * (p - labels)) + 1e-4 * w
-        hessian = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
+def classifier(spans_: list[list[int]], labels: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Logistic weights of the features, the last one the bias, fitted to the estimated labels by AdaGrad on the whole sample."""
+    sizes = np.array([len(x) for x in spans_])
+    flat, of = np.concatenate([np.asarray(x, np.int64) for x in spans_]), np.repeat(np.arange(len(spans_)), sizes)
+    w, seen = np.zeros(DIMENSIONS + 1), np.full(DIMENSIONS + 1, 1e-8)
+    n = len(labels)
+    for _ in range(rounds):
+        error = (1 / (1 + np.exp(-np.clip(np.bincount(of, w[flat], n) + w[-1], -30, 30))) - labels) / n
+        gradient = np.append(np.bincount(flat, error[of], DIMENSIONS), error.sum()) + 1e-6 * w
+        seen += gradient**2
+        w -= 0.3 * gradient / np.sqrt(seen)
     return w
 
 
-def learn(found: DataFrame) -> dict[str, float]:
-    """The probability of each vote pattern of the corpus, from the counts of all spans."""
-    rows = found.groupBy("pattern").agg(F.count("*").alias("n")).limit(MOST_PATTERNS + 1).collect()  # at most 3 ** labelers rows
+def learn(found: DataFrame) -> dict[str, np.ndarray]:
+    """The classifier's weights of each kind."""
+    rows = found.groupBy("kind", "pattern").agg(F.sum("n").alias("n")).where("n > 0").limit(MOST_PATTERNS + 1).collect()  # at most 3 ** labelers rows
     if len(rows) > MOST_PATTERNS:
         raise ValueError("too many vote patterns")
-    out: dict[str, float] = {}
+    labels: dict[str, float] = {}
     for kind in KINDS:
-        own = sorted((r.pattern, r.n) for r in rows if r.pattern.startswith(kind + ":"))
-        if not own:
-            continue
-        votes = np.array([["-0+".index(c) - 1 for c in p.split(":")[1]] for p, _ in own])
-        counts = np.array([n for _, n in own], float)
-        w = classifier(votes, counts, reliabilities(votes, counts))
-        x = np.hstack([np.ones((len(votes), 1)), votes == 1, votes == -1]).astype(float)
-        out |= {p: float(q) for (p, _), q in zip(own, 1 / (1 + np.exp(-x @ w)), strict=True)}
+        own = sorted((r.pattern, r.n) for r in rows if r.kind == kind)
+        if own:
+            votes = np.array([["-0+".index(c) - 1 for c in p.split(":")[1]] for p, _ in own])
+            labels |= dict(zip([p for p, _ in own], reliabilities(votes, np.array([n for _, n in own], float)), strict=True))
+    kept = found.where("src is not null").select("kind", "pattern", "x", "context", F.shiftrightunsigned(F.xxhash64("src", "row_id", "line_no", "pattern"), 11).alias("h"))
+    counts = {r.kind: r["count"] for r in kept.groupBy("kind").count().collect()}
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE / n) * float(1 << 53)))]) if counts else None
+    sample = kept.where(F.col("h") < share[F.col("kind")]).limit(2 * SAMPLE * len(KINDS)).collect() if counts else []
+    out = {}
+    for kind in KINDS:
+        own = sorted((r for r in sample if r.kind == kind and r.pattern in labels), key=lambda r: (r.h, r.pattern))
+        if own:
+            both = [(r.x, labels[r.pattern]) for r in own] + [(r.context, labels[r.pattern]) for r in own if r.context]
+            out[kind] = classifier([x for x, _ in both], np.array([y for _, y in both]))
     return out
 
 
+def _accepts(weights: dict[str, np.ndarray], kind: str, x) -> bool:
+    w = weights.get(kind)
+    return w is not None and float(w[np.asarray(x)].sum() + w[-1]) >= 0
+
+
+def _decided(weights: dict[str, np.ndarray]):
+    """A column function (kind, features) -> whether the classifier takes the span for an item."""
+
+    @F.pandas_udf(T.BooleanType())
+    def decide(kinds: pd.Series, xs: pd.Series) -> pd.Series:
+        return pd.Series([_accepts(weights, k, x) for k, x in zip(kinds, xs, strict=True)], dtype="bool")
+
+    return decide.asNondeterministic()
+
+
+def decisions(found: DataFrame) -> DataFrame:
+    """(kind, spans, taken, overruled): spans with a vote for them, those the classifier takes, and those it decides against the majority of
+    their votes. found as from proposals()."""
+    yes = F.length(F.regexp_replace("pattern", r"[^+]", "")) > F.length(F.regexp_replace("pattern", r"[^-]", ""))
+    rows = found.where("n = 1 and src is not null").select("kind", yes.alias("majority"), _decided(learn(found))("kind", "x").alias("taken"))
+    return rows.groupBy("kind").agg(F.count("*").alias("spans"), F.count_if("taken").alias("taken"), F.count_if(F.col("taken") != F.col("majority")).alias("overruled"))
+
+
 def free_texts(pages: DataFrame, fields: DataFrame) -> DataFrame:
     """(src, row_id, text) of page texts and of the free-text values of extracted fields."""
     from dossier.functions.names import attribute_key
@@ -239,13 +350,13 @@ def free_texts(pages: DataFrame, fields: DataFrame) -> DataFrame:
 def items(texts: DataFrame) -> DataFrame:
     """(src, row_id, kind, line_no): the lines on which an item of personal information begins."""
     found = proposals(texts)
-    good = [p for p, q in learn(found).items() if q >= 0.5]
-    return found.where(F.col("pattern").isin(good) if good else F.lit(False)).select("src", "row_id", "kind", "line_no").distinct()
+    rows = found.where("n = 1 and src is not null").withColumn("taken", _decided(learn(found))("kind", "x"))
+    return rows.where("taken").select("src", "row_id", "kind", "line_no").distinct()
 
 
 def replaced(texts: DataFrame) -> DataFrame:
     """(src, row_id, text): the same texts with [EMAIL], [PHONE], [PERSON], [ADDRESS] or [ID_NUMBER] in place of each item."""
-    good = frozenset(p for p, q in learn(proposals(texts)).items() if q >= 0.5)
+    weights = learn(proposals(texts))
 
     @F.pandas_udf(T.StringType())
     def mask(values: pd.Series) -> pd.Series:
@@ -254,7 +365,7 @@ def replaced(texts: DataFrame) -> DataFrame:
             if text:
                 kept, last = [], -1
                 for kind, start, end, votes in sorted(spans(text), key=lambda s: (s[1], -s[2])):
-                    if start >= last and _label(kind, votes) in good:
+                    if start >= last and 1 in votes and _accepts(weights, kind, features(text, kind, start, end, votes)):
                         kept.append((start, end, kind))
                         last = end
                 for start, end, kind in reversed(kept):
