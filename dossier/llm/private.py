@@ -7,9 +7,9 @@ also of those no labeler votes for, are counted by vote pattern; expectation-max
 each labeler is for each kind.
 
 A logistic classifier is then trained on the estimated labels of a sample of SAMPLE spans a kind. It sees the votes, and besides
-them the words around the span, its own words, and its shape, all hashed into DIMENSIONS numbers. Every sampled span is shown twice,
-the second time without the gazetteer's votes and without its own words, so that the context alone carries it and names of no list
-are found too. The classifier decides every span that a labeler votes for; spans without such a vote are none.
+them the words around the span, its own words if they are common in lower case, and its shape, all hashed into DIMENSIONS numbers.
+Every sampled person is shown twice, the second time without the gazetteer's votes and its common words, so that the context alone
+carries it and names of no list are found too. The classifier decides every span that a labeler votes for; spans without such a vote are none.
 
 What reaches the driver is bounded: the table of vote patterns (3 votes a labeler) and the sample.
 
@@ -45,6 +45,10 @@ FREE_TEXT = ("consignee", "penalty", "workcompleted", "performance", "undertakin
 MOST_PATTERNS = 100_000
 #: Spans of a kind that the classifier is trained on, and the numbers of its features; those below FIRST_WORD are votes.
 SAMPLE, DIMENSIONS, FIRST_WORD = 20_000, 1 << 14, 64
+#: A common word stands in lower case in this share of all texts, and in so many.
+COMMON_SHARE, COMMON_LEAST = 1e-3, 3
+#: Features of the words around a span; and a person's first labelers, which know listed names.
+CONTEXT, GAZETTEER = 4, 3
 #: One in so many of the spans without a vote for them is kept for the sample.
 KEPT = 16
 
@@ -208,18 +212,26 @@ def _persons(flat: str, left, given_names: frozenset[str]) -> Iterator[tuple[str
 _NEAR_WORD = re.compile(r"[^\W_]+")
 
 
-def features(text: str, kind: str, start: int, end: int, votes: tuple[int, ...], context_only: bool = False) -> list[int]:
-    """The numbers of a span's features: its votes, the two words before it and the word after it, its own words, and its shape."""
-    out = [3 * j + v + 1 for j, v in enumerate(votes) if not (context_only and j < 3 and v > 0 and kind == "person")]
+def features(text: str, kind: str, start: int, end: int, votes: tuple[int, ...], common: frozenset[str]) -> list[int]:
+    """The numbers of a span's features: CONTEXT of the words around it and its shape, its votes but abstentions, and its own words: those
+    that are common in lower case by themselves, all others as one."""
     before = _NEAR_WORD.findall(text[max(0, start - 40) : start])[-2:]
     after = _NEAR_WORD.match(text[end : end + 24].lstrip(" \n.,:;()-"))
     own = text[start:end]
-    words = [f"l{k}:{w.lower()}" for k, w in enumerate(reversed(before))] + ([f"r:{after.group().lower()}"] if after else ["r:"])
     shape = re.sub(r"[A-Z]", "A", re.sub(r"[a-z]+", "a", re.sub(r"\d", "9", own[:40])))
-    words.append(f"s:{shape if kind != 'person' else re.sub(r'A+', 'A', shape)}")
-    if kind == "person" and not context_only:
-        words += [f"i:{w.lower()}" for w in _NEAR_WORD.findall(own)]
-    return out + [FIRST_WORD + crc32(w.encode()) % (DIMENSIONS - FIRST_WORD) for w in words]
+    words = [f"l0:{before[-1].lower() if before else ''}", f"l1:{before[0].lower() if len(before) > 1 else ''}", f"r:{after.group().lower() if after else ''}", f"s:{shape if kind != 'person' else re.sub(r'A+', 'A', shape)}"]
+    if kind == "person":
+        words += [f"i:{w}" if w in common else "i" for w in (x.lower() for x in _NEAR_WORD.findall(own.replace("-\n", "")))]
+    numbers = [FIRST_WORD + crc32(w.encode()) % (DIMENSIONS - FIRST_WORD) for w in words]
+    return numbers[:CONTEXT] + [3 * j + v + 1 for j, v in enumerate(votes) if v] + numbers[CONTEXT:]
+
+
+_RARE_WORD = FIRST_WORD + crc32(b"i") % (DIMENSIONS - FIRST_WORD)
+
+
+def context_of(x: list[int]) -> list[int]:
+    """A person's features without the gazetteer's votes for it."""
+    return x[:CONTEXT] + [f for f in x[CONTEXT:] if (f < FIRST_WORD or f == _RARE_WORD) and not (f < 3 * GAZETTEER and f % 3 == 2)]
 
 
 def line_numbers(text: str) -> list[int]:
@@ -230,32 +242,43 @@ def _label(kind: str, votes: tuple[int, ...]) -> str:
     return kind + ":" + "".join("-0+"[v + 1] for v in votes)
 
 
-def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    unwanted: Counter = Counter()
-    for batch in batches:
-        rows = []
-        for src, row_id, text in zip(batch["src"], batch["row_id"], batch["text"], strict=True):
-            ends = None
-            for kind, start, end, votes in spans(text):
-                pattern = _label(kind, votes)
-                voted = 1 in votes
-                if not voted:
-                    unwanted[pattern] += 1
-                    if crc32(f"{row_id}/{start}".encode()) % KEPT:
-                        continue
-                if ends is None:
-                    ends = [m.start() for m in re.finditer("\n", text)]
-                line = bisect_right(ends, start - 1) + 1 if start else 1
-                rows.append((src, row_id, kind, line, pattern, 1 if voted else 0, features(text, kind, start, end, votes), features(text, kind, start, end, votes, True) if crc32(f"{row_id}:{start}".encode()) % KEPT == 0 or not voted else None))
-        yield pd.DataFrame(rows, columns=["src", "row_id", "kind", "line_no", "pattern", "n", "x", "context"])
-    yield pd.DataFrame([(None, None, p.split(":")[0], None, p, n, None, None) for p, n in unwanted.items()], columns=["src", "row_id", "kind", "line_no", "pattern", "n", "x", "context"])
-
-
-def proposals(texts: DataFrame) -> DataFrame:
-    """(src, row_id, kind, line_no, pattern, n, x, context), stored: every proposed span that a labeler votes for (n is 1), a part of the
+def common_words(texts: DataFrame) -> frozenset[str]:
+    """The words that stand in lower case in at least COMMON_SHARE of all texts: at most words a text / COMMON_SHARE."""
+    rows = texts.where("text is not null and text <> ''").select(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z])[a-z]{3,}(?![A-Za-z])"), F.lit(0))).alias("ws"))
+    counts = rows.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return frozenset(r.w for r in counts.where(F.col("n") >= max(COMMON_LEAST, COMMON_SHARE * rows.count())).select("w").collect())
+
+
+def _find(shipped):
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unwanted: Counter = Counter()
+        for batch in batches:
+            rows = []
+            for src, row_id, text in zip(batch["src"], batch["row_id"], batch["text"], strict=True):
+                ends = None
+                for kind, start, end, votes in spans(text):
+                    pattern = _label(kind, votes)
+                    voted = 1 in votes
+                    if not voted:
+                        unwanted[pattern] += 1
+                        if crc32(f"{row_id}/{start}".encode()) % KEPT:
+                            continue
+                    if ends is None:
+                        ends = [m.start() for m in re.finditer("\n", text)]
+                    line = bisect_right(ends, start - 1) + 1 if start else 1
+                    rows.append((src, row_id, kind, line, pattern, 1 if voted else 0, features(text, kind, start, end, votes, shipped.value)))
+            yield pd.DataFrame(rows, columns=["src", "row_id", "kind", "line_no", "pattern", "n", "x"])
+        yield pd.DataFrame([(None, None, p.split(":")[0], None, p, n, None) for p, n in unwanted.items()], columns=["src", "row_id", "kind", "line_no", "pattern", "n", "x"])
+
+    return find
+
+
+def proposals(texts: DataFrame, common: frozenset[str] | None = None) -> DataFrame:
+    """(src, row_id, kind, line_no, pattern, n, x), stored: every proposed span that a labeler votes for (n is 1), a part of the
     others (n is 0), and the number of all others by vote pattern (src is null). texts: src, row_id, text."""
+    shipped = texts.sparkSession.sparkContext.broadcast(common_words(texts) if common is None else common)
     rows = texts.where("text is not null and text <> ''").select("src", F.col("row_id").cast("bigint").alias("row_id"), "text")
-    return settle(rows.mapInPandas(_find, "src string, row_id bigint, kind string, line_no bigint, pattern string, n bigint, x array<int>, context array<int>"))
+    return settle(rows.mapInPandas(_find(shipped), "src string, row_id bigint, kind string, line_no bigint, pattern string, n bigint, x array<int>"))
 
 
 def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 25) -> np.ndarray:
@@ -278,7 +301,7 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 25) -> np
     return p
 
 
-def classifier(spans_: list[list[int]], labels: np.ndarray, rounds: int = 300) -> np.ndarray:
+def classifier(spans_: list[list[int]], labels: np.ndarray, rounds: int = 600) -> np.ndarray:
     """Logistic weights of the features, the last one the bias, fitted to the estimated labels by AdaGrad on the whole sample."""
     sizes = np.array([len(x) for x in spans_])
     flat, of = np.concatenate([np.asarray(x, np.int64) for x in spans_]), np.repeat(np.arange(len(spans_)), sizes)
@@ -303,7 +326,7 @@ def learn(found: DataFrame) -> dict[str, np.ndarray]:
         if own:
             votes = np.array([["-0+".index(c) - 1 for c in p.split(":")[1]] for p, _ in own])
             labels |= dict(zip([p for p, _ in own], reliabilities(votes, np.array([n for _, n in own], float)), strict=True))
-    kept = found.where("src is not null").select("kind", "pattern", "x", "context", F.shiftrightunsigned(F.xxhash64("src", "row_id", "line_no", "pattern"), 11).alias("h"))
+    kept = found.where("src is not null").select("kind", "pattern", "x", F.shiftrightunsigned(F.xxhash64("src", "row_id", "line_no", "pattern"), 11).alias("h"))
     counts = {r.kind: r["count"] for r in kept.groupBy("kind").count().collect()}
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE / n) * float(1 << 53)))]) if counts else None
     sample = kept.where(F.col("h") < share[F.col("kind")]).limit(2 * SAMPLE * len(KINDS)).collect() if counts else []
@@ -311,7 +334,7 @@ def learn(found: DataFrame) -> dict[str, np.ndarray]:
     for kind in KINDS:
         own = sorted((r for r in sample if r.kind == kind and r.pattern in labels), key=lambda r: (r.h, r.pattern))
         if own:
-            both = [(r.x, labels[r.pattern]) for r in own] + [(r.context, labels[r.pattern]) for r in own if r.context]
+            both = [(r.x, labels[r.pattern]) for r in own] + [(context_of(r.x), labels[r.pattern]) for r in own if kind == "person"]
             out[kind] = classifier([x for x, _ in both], np.array([y for _, y in both]))
     return out
 
@@ -356,16 +379,19 @@ def items(texts: DataFrame) -> DataFrame:
 
 def replaced(texts: DataFrame) -> DataFrame:
     """(src, row_id, text): the same texts with [EMAIL], [PHONE], [PERSON], [ADDRESS] or [ID_NUMBER] in place of each item."""
-    weights = learn(proposals(texts))
+    common = common_words(texts)
+    weights = learn(proposals(texts, common))
+    shipped = texts.sparkSession.sparkContext.broadcast((weights, common))
 
     @F.pandas_udf(T.StringType())
     def mask(values: pd.Series) -> pd.Series:
         out = []
+        weights, common = shipped.value
         for text in values:
             if text:
                 kept, last = [], -1
                 for kind, start, end, votes in sorted(spans(text), key=lambda s: (s[1], -s[2])):
-                    if start >= last and 1 in votes and _accepts(weights, kind, features(text, kind, start, end, votes)):
+                    if start >= last and 1 in votes and _accepts(weights, kind, features(text, kind, start, end, votes, common)):
                         kept.append((start, end, kind))
                         last = end
                 for start, end, kind in reversed(kept):

@@ -53,7 +53,7 @@ LISTED = ["Prakash", "Rajendra", "Venkatesh", "Lakshmi", "Surendra", "Jitendra",
 UNLISTED = ["Rahul", "Priya", "Anita", "Deepak", "Sunita", "Arjun", "Kavita", "Nikhil", "Meera", "Farida"]
 SURNAMES = ["Sharma", "Verma", "Desai", "Iyer", "Menon", "Tagore", "Bhatt", "Gill"]
 FRAMES = ["Signed by Shri {}, Manager.", "For details contact {} on +91-5549673195.", "The undersigned, Smt. {}, residing at Pusim.", "Bill recorded from Mr. {} in presence of two.", "Certificate given to Shri {}, Proprietor of the firm."]
-PLAIN = ["Signed by the {} Manager.", "For details contact Works {} on +91-5549673195.", "The {} shall supply Floor Tiles to the Supply Depot.", "Payment is made by {} Works Division.", "All Bills of the {} are kept at Stores Wing."]
+PLAIN = ["Signed by the {} Manager.", "For details contact Works {} on +91-5549673195.", "The {} shall supply Floor Tiles to the Supply Depot.", "Payment is made by {} Works Division.", "All Bills of the {} are kept at Stores Wing.", "Space is needed for Floor Tiles of the {}.", "Space is needed for Pest Control of the {}."]
 
 
 def test_names_of_no_list(spark):
