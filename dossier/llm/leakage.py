@@ -126,7 +126,9 @@ def leaks(corpus: DataFrame, items: DataFrame) -> DataFrame:
     chosen, lengths = anchors(items)
     index = positional_index(worded, chosen, lengths or [1])
     hits = index.join(bounded(chosen, SMALL_TERMS), ["term", "run"]).select("item_id", "doc_id", "run", "least", "cover", "at", (F.col("pos") - F.col("at")).alias("offset"))
-    aligned = hits.groupBy("item_id", "doc_id", "run", "least", "cover", "offset").agg(F.collect_set("at").alias("at")).where(F.size("at") >= F.col("least"))  # at most an item's words
+    # a word of a document stands at one place of an item for each offset, so rows count anchors; few offsets have enough of them
+    several = cut(hits.groupBy("item_id", "doc_id", "offset", "least").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("least")).select("item_id", "doc_id", "offset"))
+    aligned = hits.join(bounded(several, SMALL_TERMS), ["item_id", "doc_id", "offset"], "left_semi").groupBy("item_id", "doc_id", "run", "cover", "offset").agg(F.collect_set("at").alias("at"))  # at most an item's words
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x, x + F.col("run") - 1)))))
     candidates = aligned.select("item_id", "doc_id", "cover", covered.alias("n")).groupBy("item_id", "doc_id", "cover").agg(F.sum("n").alias("n")).where(F.col("n") >= F.col("cover"))
     candidates = cut(candidates.select("item_id", "doc_id"))
