@@ -52,14 +52,17 @@ def token_count(path: str = VOCABULARY):
     return count
 
 
+def _terms(rate: float, cap: int) -> list[float]:
+    """P(number = k) for k below the cap, by logarithms: a great rate makes no term of the row vanish with the first."""
+    if rate <= 0:
+        return [1.0] + [0.0] * (cap - 1) if cap > 0 else []
+    return [math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(cap)]
+
+
 def capped_mean(rate: float, cap: int) -> float:
     """The mean of a Poisson number of this rate, cut off at cap."""
-    term, mean, below = math.exp(-rate), 0.0, 0.0
-    for k in range(cap):
-        below += term
-        mean += k * term
-        term *= rate / (k + 1)
-    return mean + cap * max(0.0, 1.0 - below)
+    terms = _terms(rate, cap)
+    return math.fsum(k * t for k, t in enumerate(terms)) + cap * max(0.0, 1.0 - math.fsum(terms))
 
 
 def rate_for(mean: float, cap: int) -> float:
@@ -72,16 +75,17 @@ def rate_for(mean: float, cap: int) -> float:
     for _ in range(200):
         mid = (low + high) / 2
         low, high = (mid, high) if capped_mean(mid, cap) < mean else (low, mid)
+        if high - low <= 1e-12 * high:
+            break
     return (low + high) / 2
 
 
 def cumulative(rate: float, cap: int) -> list[float]:
     """P(number <= k) for k below the cap; the count of a text is how many of these its uniform number reaches."""
-    out, term, total = [], math.exp(-rate), 0.0
-    for k in range(cap):
+    out, total = [], 0.0
+    for term in _terms(rate, cap):
         total += term
         out.append(min(total, 1.0))
-        term *= rate / (k + 1)
     return out
 
 

@@ -17,6 +17,15 @@ def test_rates_invert(rate, cap):
     assert mixing.cumulative(rate, cap) == pytest.approx([sum(pmf[: k + 1]) for k in range(cap)])
 
 
+def test_great_means():
+    """A mean of a thousand under a cap of two thousand: the first term of the row is zero in floating point, the mean is kept."""
+    rate = mixing.rate_for(1000.0, 2000)
+    assert mixing.capped_mean(rate, 2000) == pytest.approx(1000.0)
+    steps = mixing.cumulative(rate, 2000)
+    assert sum(1 - x for x in steps) == pytest.approx(1000.0)
+    assert mixing.cumulative(0.0, 3) == [1.0, 1.0, 1.0]
+
+
 def test_mix(spark):
     docs = [(k, f"text number {k} of the large source with some words", "large") for k in range(3000)] + [(5000 + k, f"small text {k}", "small") for k in range(400)] + [(9000, "small text 1", "small"), (9001, "small text 2", "large"), (9002, None, "small"), (9003, " ", "small"), (9004, "x", None), (9005, "other", "nowhere")]
     targets = [("large", 0.8, 1), ("small", 0.2, 4), ("absent", 0.1, 2)]
