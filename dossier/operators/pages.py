@@ -32,6 +32,12 @@ def scores(pages: DataFrame, text: str = "text", types=rules.DOCUMENT_TYPES) ->
     return pages.withColumn("low_text", low).withColumn("all_scores", F.array(*[one(k, t) for k, t in enumerate(types)]))
 
 
+def positive(pages: DataFrame, key: str = "page_id", text: str = "text", types=rules.DOCUMENT_TYPES) -> DataFrame:
+    """(key, doc_type, score) of every type with a phrase on the page. Zero scores are filtered inside the array: a filter on its
+    explosion would be pushed below it, and the rules evaluated once more for each."""
+    return scores(pages, text, types).select(key, F.explode(F.filter("all_scores", lambda s: s["score"] > 0)).alias("s")).select(key, "s.doc_type", "s.score")
+
+
 def classified(pages: DataFrame, text: str = "text", types=rules.DOCUMENT_TYPES) -> DataFrame:
     """The pages with doc_type (null if no type reaches its least score) and score (0 then)."""
     enough = F.filter("all_scores", lambda s: s["score"] >= s["least"])
@@ -63,6 +69,11 @@ def pattern_fields(pages: DataFrame, key: str = "page_id", text: str = "text", f
     return pages.select(key, "doc_type", F.explode(cells).alias("f")).select(key, "doc_type", "f.field_name", "f.field_value", "f.is_required")
 
 
+def notes(read: DataFrame) -> DataFrame:
+    """The fields with a note on how each value came: regex, or missing where the pattern found nothing."""
+    return read.withColumn("note", F.when(F.col("field_value").isNull(), "missing").otherwise("regex"))
+
+
 def missing_required(read: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, doc_type, missing): the required fields a page lacks, in name order, as one text; pages that lack none are left out."""
     lacking = read.where("is_required and field_value is null")

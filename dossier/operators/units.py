@@ -6,14 +6,15 @@ prefixes (lakh, k, milli), roots (rupee, metre, gram) and exponents ('000, 2, ^3
 piece, and the cheapest wins. Runs that no decomposition covers are words and carry no unit.
 
 Defined results: null, empty and unreadable values give null; zero is a value; a value with several amounts and no scales
-gives null; very long texts (over LONGEST characters have no amount as their whole content) give null.
+gives null; an amount with more words around it is read by the same rules, however long the text; a leading minus makes the
+amount negative.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
 from functools import lru_cache
 
@@ -25,9 +26,6 @@ from pyspark.sql import types as T
 from dossier.functions.names import attribute_key
 from dossier.session import bounded
 
-#: A cell that holds an amount is short; a longer text is prose and is unreadable as one amount.
-LONGEST = 400
-
 # Scale prefixes and their power of ten, by the dimension they are usual for.
 PREFIXES = {
     "hundred": (2, "money"), "hundreds": (2, "money"),
@@ -36,8 +34,10 @@ PREFIXES = {
     "million": (6, "money"), "millions": (6, "money"), "mn": (6, "money"), "mln": (6, "money"), "m": (6, "money"),
     "crore": (7, "money"), "crores": (7, "money"), "cr": (7, "money"), "crs": (7, "money"), "करोड़": (7, "money"), "करोड़": (7, "money"),
     "billion": (9, "money"), "billions": (9, "money"), "bn": (9, "money"),
-    "kilo": (3, "physical"), "mega": (6, "physical"), "milli": (-3, "physical"), "centi": (-2, "physical"), "c": (-2, "physical"), "micro": (-6, "physical"),
+    "kilo": (3, "physical"), "mega": (6, "physical"), "milli": (-3, "physical"), "centi": (-2, "physical"), "c": (-2, "physical"), "micro": (-6, "physical"), "µ": (-6, "physical"),
 }
+# Signs that stand for a second prefix as well; the field's dimension decides.
+SHORT_PREFIXES = {"m": (-3, "physical"), "d": (-1, "physical")}
 # Roots, their dimension and their size in the dimension's common unit (rupee, metre, kilogram, second, per cent).
 ROOTS = {
     "rs": ("money", "1"), "re": ("money", "1"), "inr": ("money", "1"), "rupee": ("money", "1"), "rupees": ("money", "1"), "₹": ("money", "1"),
@@ -65,15 +65,19 @@ PRIORS = {
     "ratio": {"money": 0.01, "ratio": 0.96, "length": 0.01, "mass": 0.01, "time": 0.01},
 }
 PIECE_COST = 0.7
+#: Wordings up to this length are remembered; an amount has at most so many digits.
+REMEMBERED, MOST_DIGITS = 400, 40
 
 _NUMBER = re.compile(r"(?<![\d'’‘])\d[\d,]*(?:\.\d+)?|(?<![\w.])\.\d+")
+#: A minus before an amount, or between its currency and its figures.
+_NEGATIVE = re.compile(r"^(\s*(?:(?:rs|inr)\.?|₹)?\s*)[-−]\s?(?=(?:(?:rs|inr)\.?|₹)?\s*[\d.])", re.I)
 _THOUSANDS = re.compile(r"['’‘`]\s*0{3}\b")
 _RUN = re.compile(r"[^\W\d_]+(?:[ऀ-ॿ]+)?|[₹%#]|/-|[ऀ-ॿ]+")
 
 
-def _trie(entries: dict) -> dict:
+def _trie(entries: Iterable[tuple[str, object]]) -> dict:
     root: dict = {}
-    for word, meaning in entries.items():
+    for word, meaning in entries:
         node = root
         for ch in word:
             node = node.setdefault(ch, {})
@@ -82,9 +86,9 @@ def _trie(entries: dict) -> dict:
 
 
 _TRIES = {
-    "prefix": _trie({w: v for w, v in PREFIXES.items()}),
-    "root": _trie(ROOTS),
-    "exponent": _trie(EXPONENTS),
+    "prefix": _trie([*PREFIXES.items(), *SHORT_PREFIXES.items()]),
+    "root": _trie(ROOTS.items()),
+    "exponent": _trie(EXPONENTS.items()),
 }
 
 
@@ -142,7 +146,7 @@ def _program(shape: str, dimension: str) -> tuple:
             _, power, root, factor = reading
             if root:
                 out.append(("c", root, factor))
-            if power:
+            if power and (power > 0 or root is not None and root.startswith(dimension)):  # a small prefix goes with its own root
                 out.append(("s", power))
     return tuple(out)
 
@@ -151,12 +155,13 @@ def _pieces(text: str, dimension: str) -> tuple[list[str], list[tuple]]:
     low = text.lower()
     low = _THOUSANDS.sub(" thousand ", low)
     numbers = _NUMBER.findall(low)
-    return numbers, list(_program(_NUMBER.sub(" # ", low), dimension))
+    shape = _NUMBER.sub(" # ", low)
+    return numbers, list((_program if len(shape) <= REMEMBERED else _program.__wrapped__)(shape, dimension))
 
 
 def unit_of(text: str | None, dimension: str = "money") -> Decimal | None:
     """The size of the unit that a wording states ('Rs. in lakhs' is 100000, 'in rupees' is 1); None if it states none."""
-    if not text or len(text) > 2_000:
+    if not text:
         return None
     _, pieces = _pieces(text, dimension)
     scales = [p[1] for p in pieces if p[0] == "s"]
@@ -168,11 +173,16 @@ def unit_of(text: str | None, dimension: str = "money") -> Decimal | None:
 
 def read_quantity(text: str | None, dimension: str = "money") -> tuple[Decimal, bool] | None:
     """(amount, whether the text itself states the unit); None if no single amount can be read."""
-    if not text or len(text) > LONGEST:
+    if not text:
         return None
+    if _NEGATIVE.match(text):
+        found = read_quantity(_NEGATIVE.sub(r"\1", text, count=1), dimension)
+        return found and (-found[0], found[1])
     numbers, pieces = _pieces(text, dimension)
     if any(p[0] == "c" and p[1] != dimension for p in pieces):
         pieces = [p for p in pieces if p[0] != "c" or p[1] == dimension]
+    if any(len(n) > MOST_DIGITS for n in numbers):
+        return None
     try:
         values = [Decimal(n.replace(",", "")) for n in numbers]
     except InvalidOperation:
@@ -247,7 +257,7 @@ def quantity_reader(dimension: str = "money"):
 
 
 #: The value holds nothing but a number: only such values look for a unit elsewhere.
-BARE = r"^[\s\d.,]*\d[\s\d.,]*$"
+BARE = r"^\s*[-−]?[\s\d.,]*\d[\s\d.,]*$"
 #: A line that states the unit of a page's amounts.
 UNIT_LINE = r"(?im)^[ \t(]*((?:all[ \t]+)?(?:amounts?|figures|values?|राशि)(?=[\s:(])[^\n\d]{0,24}(?:lakhs?|lacs?|crores?|thousands?|millions?|rupees|rs\.?|inr|लाख|करोड़|हजार|रुपये)[^\n\d]{0,20}(?:['’]0{3})?[ \t).]*)$"
 
@@ -291,8 +301,3 @@ def rule_amounts(rules: DataFrame) -> DataFrame:
     wording = F.concat_ws(" ; ", F.col("note"), F.when(brackets != "", brackets))
     amount = quantity_reader("money")(F.lit(None).cast("string"), wording, F.lit("inr"), F.col("min_value_inr"))
     return rules.where("min_value_inr is not null and min_value_inr <> 0 and not isnan(min_value_inr)").select("rule_id", amount.alias("value_inr")).where("value_inr is not null")
-
-
-def value_inr(value: Column, default_unit: Column) -> Column:
-    """The amount of one cell, with no page to look at: its own unit, else the default's."""
-    return quantity_reader("money")(value, F.lit(None).cast("string"), default_unit, F.lit(None).cast("double"))

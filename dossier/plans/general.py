@@ -134,7 +134,38 @@ select 'eligibility_rules', rule_id, cast(round(cast(min_value_inr as decimal(28
 from eligibility_rules where min_value_inr is not null and min_value_inr <> 0
 """
 
+# The columns that the catalogue gives the wide table, by type.
+WIDE_COLUMNS = {
+    "date": "commencement_date contract_date date dob period_from period_to registration_date validity_upto work_extended_upto",
+    "boolean": "has_seal has_signature",
+    "integer": "membership_number",
+    "money": "average_annual_turnover total_contract_value total_payment_made",
+    "json": "turnover_by_year",
+    "text": "authority_name buyer ca_firm_name ca_name compliance_note consignee contract_name contract_no designation enterprise_name father_name frn gstin legal_name name organisation pan_number penalty performance place registration_number "
+    "service_provider signatory state status tender_no trade_name type udin udyam_number undertaking_type work_completed work_order_no",
+}
+_SQL_TYPES = {"date": "date", "boolean": "boolean", "integer": "bigint", "money": "bigint", "json": "varchar", "text": "varchar"}
+_WIDE_SQL = ", ".join(f"cast(max(cell) filter (where field_name = '{c}') as {_SQL_TYPES[t]}) {c}" for t, cs in WIDE_COLUMNS.items() for c in cs.split())
+P5_WIDE_SQL = rf"""
+with known as (
+  select e.document_id, c.field_name, c.value_type, e.field_id, e.extracted_at, e.field_value
+  from extracted_fields e join page_documents d using (document_id)
+  join field_catalog c on c.doc_type = d.doc_type
+   and lower(regexp_replace(e.field_name, '[^\p{{L}}\p{{N}}]+', '', 'g')) = lower(regexp_replace(c.field_name, '[^\p{{L}}\p{{N}}]+', '', 'g'))
+  where trim(e.field_value) <> ''
+), readable as (
+  select document_id, field_name, field_id, extracted_at, field_value cell from known where value_type in ('text', 'json')
+  union all
+  select k.document_id, k.field_name, k.field_id, k.extracted_at, cast(x.value_inr as varchar) from known k join ({P2_SQL}) x on x.src = 'extracted_fields' and x.row_id = k.field_id where k.value_type = 'money'
+), cells as (
+  select document_id, field_name, arg_max(cell, (coalesce(extracted_at, timestamp '0001-01-01'), field_id)) cell from readable group by document_id, field_name
+  union all
+  select document_id, field_name, cell from ({P5_SQL})
+)
+select document_id, {_WIDE_SQL} from cells group by document_id
+"""
+
 QUERIES = {"p2_found": p2_found, "p2_amounts_by_type": p2_amounts_by_type, "p5_found": p5_found, "p5_wide": p5_wide}
 _BY_TYPE_SQL = rf"""select lower(regexp_replace(e.field_name, '[^\p{{L}}\p{{N}}]+', '', 'g')) attribute, count(*) amounts, cast(sum(value_inr) as decimal(38, 0)) total_inr
 from ({P2_SQL}) x join extracted_fields e on x.row_id = e.field_id where x.src = 'extracted_fields' group by 1"""
-SQL = {"p2_found": P2_SQL, "p2_amounts_by_type": _BY_TYPE_SQL, "p5_found": P5_SQL}
+SQL = {"p2_found": P2_SQL, "p2_amounts_by_type": _BY_TYPE_SQL, "p5_found": P5_SQL, "p5_wide": P5_WIDE_SQL}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.names import attribute_key
 from dossier.operators import pages as ops
-from dossier.session import bounded, table
+from dossier.session import bounded, spread, table
 from dossier.sources import rules
 from dossier.streaming import pages as streaming
 
@@ -44,23 +47,26 @@ best as (select page_id, arg_max(doc_type, score * 1000 - ord) doc_type, max(sco
 classified as (select p.page_id, b.doc_type, coalesce(b.score, 0) score, p.text from page_results p left join best b using (page_id))"""
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "page_results").select("page_id", "text"), "page_id")
+
+
 @_query(f"with low as ({_LOW_SQL}), s as ({_SCORES_SQL}) select page_id, doc_type, score from s where score > 0")
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every page for every type with a phrase on it."""
-    scored = ops.scores(table(spark, sf_dir, "page_results").select("page_id", "text"))
-    return scored.select("page_id", F.explode("all_scores").alias("s")).select("page_id", "s.doc_type", "s.score").where("score > 0")
+    return ops.positive(_texts(spark, sf_dir))
 
 
 @_query(f"with {_BEST_SQL} select page_id, doc_type, score from classified")
 def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The type of every page by the phrase rules, null where no type has enough."""
-    return ops.classified(table(spark, sf_dir, "page_results").select("page_id", "text")).select("page_id", "doc_type", "score")
+    return ops.classified(_texts(spark, sf_dir)).select("page_id", "doc_type", "score")
 
 
 @_query(f"with {_BEST_SQL} select d.doc_type stored_type, coalesce(c.doc_type, 'none') rule_type, count(*) pages from page_documents d join classified c using (page_id) group by all")
 def type_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the rules' types stand against the stored ones."""
-    found = ops.classified(table(spark, sf_dir, "page_results").select("page_id", "text")).select("page_id", F.coalesce("doc_type", F.lit("none")).alias("rule_type"))
+    found = ops.classified(_texts(spark, sf_dir)).select("page_id", F.coalesce("doc_type", F.lit("none")).alias("rule_type"))
     stored = table(spark, sf_dir, "page_documents").select("page_id", F.col("doc_type").alias("stored_type"))
     return stored.join(found, "page_id").groupBy("stored_type", "rule_type").agg(F.count("*").alias("pages"))
 
@@ -78,7 +84,7 @@ _FIELDS_SQL = " union all ".join(_field_sql(*f) for f in rules.PATTERN_FIELDS)
 
 
 def _pattern_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.pattern_fields(ops.classified(table(spark, sf_dir, "page_results").select("page_id", "text")))
+    return ops.pattern_fields(ops.classified(_texts(spark, sf_dir)))
 
 
 @_query(f"with {_BEST_SQL} select page_id, doc_type, field_name, field_value from ({_FIELDS_SQL})")
@@ -87,6 +93,12 @@ def pattern_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pattern_fields(spark, sf_dir).select("page_id", "doc_type", "field_name", "field_value")
 
 
+@_query(f"with {_BEST_SQL} select doc_type, field_name, case when field_value is null then 'missing' else 'regex' end note, count(*) pages from ({_FIELDS_SQL}) group by all")
+def field_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the values of every pattern field came, over all pages of its type."""
+    return ops.notes(_pattern_fields(spark, sf_dir)).groupBy("doc_type", "field_name", "note").agg(F.count("*").alias("pages"))
+
+
 @_query(f"with {_BEST_SQL}, f as ({_FIELDS_SQL}) select page_id, doc_type, string_agg(distinct field_name, ', ' order by field_name) missing from f where is_required and field_value is null group by page_id, doc_type")
 def missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The required pattern fields that a page lacks."""
@@ -174,15 +186,40 @@ def numbered_bidders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bidders.withColumn("number", F.row_number().over(Window.partitionBy("tender_id").orderBy("bidder_name")))
 
 
+_STEM = r"(_\d+)+$"
+
+
+def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Names of folders in order of arrival, family by family: the base name, or with the least free number from 2 on. Only the taken names
+    of the family at hand are kept."""
+    stem, taken, next_free = None, set(), {}
+    for batch in batches:
+        names = []
+        for base, family in zip(batch["base"], batch["stem"], strict=True):
+            if family != stem:
+                stem, taken, next_free = family, set(), {}
+            name, k = base, next_free.get(base, 2)
+            while name in taken:
+                name, k = f"{base}_{k}", k + 1
+            next_free[base] = k
+            taken.add(name)
+            names.append(name)
+        yield pd.DataFrame({"source_folder": batch["source_folder"], "dest_name": names})
+
+
 @_query(
-    """with f as (select source_folder, min(submission_id) first_id, regexp_extract(source_folder, '([^/]*)$', 1) base from submissions group by source_folder)
-    select source_folder, case when k = 1 then base else base || '_' || k end as dest_name from (select *, row_number() over (partition by base order by first_id) k from f)"""
+    r"""with f as (select source_folder, min(submission_id) first_id, regexp_extract(source_folder, '([^/]*)$', 1) base from submissions group by source_folder),
+    families as (select regexp_replace(base, '(_\d+)+$', '') stem, list(source_folder order by first_id) folders, list([base] order by first_id) bases from f group by 1),
+    named as (select folders, list_reduce(bases, lambda taken, b: list_append(taken, case when not list_contains(taken, b[1]) then b[1]
+      else list_filter(list_transform(range(2, len(taken) + 3), lambda i: b[1] || '_' || i), lambda n: not list_contains(taken, n))[1] end), []::varchar[]) dest from families)
+    select unnest(folders) source_folder, unnest(dest) dest_name from named"""
 )
 def gathered_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One destination name per source folder; a name taken before gets a number."""
+    """One destination name per source folder, in order of arrival: its own, or that with the least number that no earlier folder has taken.
+    Names can only meet within one stem; families stream through a task one after the other."""
     folders = table(spark, sf_dir, "submissions").groupBy("source_folder").agg(F.min("submission_id").alias("first_id")).withColumn("base", F.regexp_extract("source_folder", "([^/]*)$", 1))
-    k = F.row_number().over(Window.partitionBy("base").orderBy("first_id"))
-    return folders.withColumn("k", k).select("source_folder", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", "k")).alias("dest_name"))
+    families = folders.withColumn("stem", F.regexp_replace("base", _STEM, "")).repartition("stem").sortWithinPartitions("stem", "first_id")
+    return families.select("source_folder", "base", "stem").mapInPandas(_placed, "source_folder string, dest_name string")
 
 
 @_query("select submission_id, tender_id, count(*) over (partition by tender_id order by processed_at, submission_id rows unbounded preceding) done, count(*) over (partition by tender_id) total from submissions")
@@ -234,15 +271,99 @@ def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "verdicts").select("verdict_id", F.explode(read).alias("e")).select("verdict_id", "e.doc_type", "e.page_number")
 
 
-@_query(
-    """select verdict_id, string_agg(e.doc_type || ' p.' || e.page_number, '; ' order by k) shown from (
-    select verdict_id, generate_subscripts(a, 1) k, unnest(a) e from (select verdict_id, from_json(evidence_json, '[{"doc_type":"VARCHAR","page_number":"INTEGER"}]') a from verdicts)) group by verdict_id"""
-)
+_EVIDENCE_SQL = """select verdict_id, string_agg(coalesce(e.doc_type, 'None') || ' p.' || coalesce(e.page_number::varchar, 'None') || coalesce(' = ' || e.value, ''), '; ' order by k) shown from (
+    select verdict_id, generate_subscripts(a, 1) k, unnest(a) e from (select verdict_id, from_json(evidence_json, '[{"doc_type":"VARCHAR","page_number":"INTEGER","value":"VARCHAR"}]') a from verdicts)) group by verdict_id"""
+
+
+def _evidence_text(evidence: Column) -> Column:
+    """'TYPE p.3 = value' of every entry, the value only where there is one."""
+    read = F.from_json(evidence, "array<struct<doc_type:string,page_number:int,value:string>>")
+    part = lambda e: F.concat(F.coalesce(e["doc_type"], F.lit("None")), F.lit(" p."), F.coalesce(e["page_number"].cast("string"), F.lit("None")), F.coalesce(F.concat(F.lit(" = "), e["value"]), F.lit("")))
+    return F.array_join(F.transform(read, part), "; ")
+
+
+@_query(_EVIDENCE_SQL)
 def evidence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evidence of every verdict as one line."""
-    read = F.from_json("evidence_json", "array<struct<doc_type:string,page_number:int>>")
-    shown = F.array_join(F.transform("a", lambda e: F.concat(e["doc_type"], F.lit(" p."), e["page_number"].cast("string"))), "; ")
-    return table(spark, sf_dir, "verdicts").select("verdict_id", read.alias("a")).where("size(a) > 0").select("verdict_id", shown.alias("shown"))
+    return table(spark, sf_dir, "verdicts").select("verdict_id", _evidence_text(F.col("evidence_json")).alias("shown")).where("shown <> ''")
+
+
+@_query(
+    f"""with e as ({_EVIDENCE_SQL}), v as (select *, row_number() over (partition by tender_id, bidder_name, criterion_id order by verdict_id desc) k from verdicts)
+    select v.tender_id, v.bidder_name, v.ord, v.criterion_id, v.label, v.status, v.reason, coalesce(e.shown, '') evidence from v left join e using (verdict_id) where k = 1"""
+)
+def verdict_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The details table: the last verdict on every criterion of every bidder, with its evidence in one line."""
+    kept = ["ord", "label", "status", "reason", "evidence_json"]
+    rows = table(spark, sf_dir, "verdicts").groupBy("tender_id", "bidder_name", "criterion_id").agg(F.max_by(F.struct(*kept), "verdict_id").alias("v"))
+    return rows.select("tender_id", "bidder_name", "v.ord", "criterion_id", "v.label", "v.status", "v.reason", F.coalesce(_evidence_text(F.col("v.evidence_json")), F.lit("")).alias("evidence"))
+
+
+_FIRST = {"gstin": "gstin", "pan_number": "pannumber", "udin": "udin", "avg_turnover": "averageannualturnover"}
+
+
+@_query(
+    f"""with b as (select tender_id, bidder_name, arg_max(coalesce(overall_status, 'NOT_EVALUATED'), submission_id) result from submissions group by tender_id, bidder_name),
+    v as (select d.tender_id, d.bidder_name, {_KEY_SQL.format("f.field_name")} k, f.field_value, row_number() over (partition by d.tender_id, d.bidder_name, {_KEY_SQL.format("f.field_name")} order by d.source_file, d.page_number, d.document_id, f.field_id) n
+      from extracted_fields f join page_documents d using (document_id) where f.field_value <> '' and {_KEY_SQL.format("f.field_name")} in ({", ".join(_q(k) for k in _FIRST.values())})),
+    x as (select tender_id, bidder_name, count(*) experience_count from page_documents where doc_type = 'EXPERIENCE_CERTIFICATE' group by tender_id, bidder_name)
+    select b.tender_id, row_number() over (partition by b.tender_id order by b.bidder_name) as number, b.bidder_name, {", ".join(f"max(v.field_value) filter (where v.k = '{k}') {c}" for c, k in _FIRST.items())},
+    coalesce(max(x.experience_count), 0) experience_count, max(b.result) result from b left join v on v.tender_id = b.tender_id and v.bidder_name = b.bidder_name and v.n = 1 left join x on x.tender_id = b.tender_id and x.bidder_name = b.bidder_name
+    group by b.tender_id, b.bidder_name"""
+)
+def bidder_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary table: bidders of a tender numbered by name, with their first identifiers and turnover, papers of experience and result."""
+    bidders = table(spark, sf_dir, "submissions").groupBy("tender_id", "bidder_name").agg(F.max_by(F.coalesce("overall_status", F.lit("NOT_EVALUATED")), "submission_id").alias("result"))
+    papers = table(spark, sf_dir, "page_documents").select("document_id", "tender_id", "bidder_name", "source_file", "page_number", "doc_type")
+    fields = table(spark, sf_dir, "extracted_fields").select("document_id", "field_id", "field_value", attribute_key(F.col("field_name")).alias("k")).where(F.col("k").isin(*_FIRST.values()) & (F.col("field_value") != ""))
+    place = F.struct("source_file", "page_number", "document_id", "field_id")
+    first = lambda k: F.min_by(F.when(F.col("k") == k, F.col("field_value")), F.when(F.col("k") == k, place))
+    values = fields.join(papers.drop("doc_type"), "document_id").groupBy("tender_id", "bidder_name").agg(*[first(k).alias(c) for c, k in _FIRST.items()])
+    experience = papers.where("doc_type = 'EXPERIENCE_CERTIFICATE'").groupBy("tender_id", "bidder_name").agg(F.count("*").alias("experience_count"))
+    rows = bidders.join(values, ["tender_id", "bidder_name"], "left").join(experience, ["tender_id", "bidder_name"], "left")
+    number = F.row_number().over(Window.partitionBy("tender_id").orderBy("bidder_name"))
+    return rows.select("tender_id", number.alias("number"), "bidder_name", *_FIRST, F.coalesce("experience_count", F.lit(0)).alias("experience_count"), "result")
+
+
+_RUN_SQL = """with b as (select tender_id, bidder_name, arg_max(coalesce(overall_status, 'NOT_EVALUATED'), submission_id) result from submissions group by tender_id, bidder_name),
+    p as (select tender_id, bidder_name, count(*) pages, date_diff('second', min(read_at), max(read_at)) as seconds from page_results group by tender_id, bidder_name),
+    d as (select tender_id, bidder_name, count(*) documents from page_documents group by tender_id, bidder_name),
+    r as (select b.tender_id, b.bidder_name, b.result, coalesce(d.documents, 0) documents, coalesce(p.pages, 0) pages, p.seconds from b left join p using (tender_id, bidder_name) left join d using (tender_id, bidder_name))"""
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = ["tender_id", "bidder_name"]
+    bidders = table(spark, sf_dir, "submissions").groupBy(by).agg(F.max_by(F.coalesce("overall_status", F.lit("NOT_EVALUATED")), "submission_id").alias("result"))
+    pages = table(spark, sf_dir, "page_results").groupBy(by).agg(F.count("*").alias("pages"), F.timestamp_diff("SECOND", F.min("read_at"), F.max("read_at")).alias("seconds"))
+    papers = table(spark, sf_dir, "page_documents").groupBy(by).agg(F.count("*").alias("documents"))
+    return bidders.join(pages, by, "left").join(papers, by, "left").select(*by, "result", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("pages", F.lit(0)).alias("pages"), "seconds")
+
+
+@_query(
+    f"""{_RUN_SQL} select tender_id, count(*) bidders, count(*) filter (where result = 'PASS') qualified, cast(sum(documents) as bigint) documents, cast(sum(pages) as bigint) pages, cast(sum(seconds) as bigint) as seconds, round(sum(pages) / nullif(sum(seconds), 0), 6) pages_a_second from r group by tender_id"""
+)
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run over a tender came to: bidders, those qualified, documents, pages, and pages a second of reading."""
+    totals = _runs(spark, sf_dir).groupBy("tender_id").agg(F.count("*").alias("bidders"), F.count_if(F.col("result") == "PASS").alias("qualified"), F.sum("documents").alias("documents"), F.sum("pages").alias("pages"), F.sum("seconds").alias("seconds"))
+    return totals.withColumn("pages_a_second", F.round(F.try_divide("pages", "seconds"), 6))
+
+
+@_query(
+    f"""{_RUN_SQL} select tender_id, row_number() over (partition by tender_id order by bidder_name) line_no, '[' || bidder_name || '] DONE: ' || documents || ' document(s) found, result = ' || result || ', ' || pages || ' page(s) in ' || coalesce(seconds, 0) || ' s' as line from r"""
+)
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of a tender's run: one numbered line a bidder, in name order; joined by line_no it is the log's text."""
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    c = lambda x: F.col(x).cast("string")
+    line = text("[", c("bidder_name"), "] DONE: ", c("documents"), " document(s) found, result = ", c("result"), ", ", c("pages"), " page(s) in ", F.coalesce(c("seconds"), F.lit("0")), " s")
+    return _runs(spark, sf_dir).select("tender_id", F.row_number().over(Window.partitionBy("tender_id").orderBy("bidder_name")).alias("line_no"), line.alias("line"))
+
+
+@_query("select rule_id, coalesce(field_used, 'value') || ' vs required minimum ' || format('{:,}', cast(round(min_value_inr) as bigint)) shown from eligibility_rules where min_value_inr is not null")
+def limit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stated limit in words, with thousands set apart."""
+    amount = F.format_number(F.round("min_value_inr").cast("bigint"), 0)
+    return table(spark, sf_dir, "eligibility_rules").where("min_value_inr is not null").select("rule_id", F.concat(F.coalesce("field_used", F.lit("value")), F.lit(" vs required minimum "), amount).alias("shown"))
 
 
 @_query(
@@ -255,12 +376,17 @@ def turnover_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("field_id", F.explode(F.from_json("field_value", "array<struct<financial_year:string,turnover_lakhs:double>>")).alias("t")).select("field_id", "t.financial_year", "t.turnover_lakhs")
 
 
-@_query("select document_id, count(*) fields, string_agg(field_name || ': ' || field_value, '; ' order by field_id) shown from extracted_fields where field_value is not null and field_value <> '' group by document_id")
+#: Numbers of field_id in a block of a summary, so that no row gathers more.
+BLOCK = 4096
+
+
+@_query(f"select document_id, field_id // {BLOCK} block, count(*) fields, string_agg(field_name || ': ' || field_value, '; ' order by field_id) shown from extracted_fields where field_value is not null and field_value <> '' group by document_id, field_id // {BLOCK}")
 def field_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filled fields of every paper in one line, in field order."""
+    """The filled fields of every paper in one line a block of field_id, in field order: papers of usual size lie in one block or two."""
     rows = table(spark, sf_dir, "extracted_fields").where("field_value is not null and field_value <> ''")
     parts = F.array_sort(F.collect_list(F.struct("field_id", F.concat(F.col("field_name"), F.lit(": "), F.col("field_value")).alias("t"))))
-    return rows.groupBy("document_id").agg(F.count("*").alias("fields"), parts.alias("p")).select("document_id", "fields", F.array_join(F.transform("p", lambda x: x["t"]), "; ").alias("shown"))
+    grouped = rows.groupBy("document_id", F.floor(F.col("field_id") / BLOCK).alias("block")).agg(F.count("*").alias("fields"), parts.alias("p"))
+    return grouped.select("document_id", "block", "fields", F.array_join(F.transform("p", lambda x: x["t"]), "; ").alias("shown"))
 
 
 @_query(

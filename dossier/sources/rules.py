@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dossier.sources.folders import tenders
+
 # Document types in order of precedence: name, label, least score, phrases (phrase, weight, phrases that must stand
 # on the page too). A phrase counts wherever it stands, whatever its letter case.
 DOCUMENT_TYPES = [
@@ -37,5 +44,45 @@ PATTERN_FIELDS = [
 ]
 #: Characters after a label in which a value is looked for first.
 NEAR_LABEL = 40
-#: Native text of fewer characters than this goes to recognition; a page of fewer than NEAR_EMPTY is not worth a model call.
-NATIVE_LEAST, NEAR_EMPTY = 20, 15
+#: Native text of fewer characters than this goes to recognition.
+NATIVE_LEAST = 20
+
+#: A rules file is configuration; a larger one is refused.
+MOST_BYTES = 10_000_000
+CRITERION = "id string, label string, type string, source_document_type string, field_used string, min_value_inr double, min_value_pct_of_estimate double, fail_message string, note string"
+ELIGIBILITY = f"tender_id string, estimated_cost_inr double, criteria array<struct<{', '.join(c.replace(' ', ':') for c in CRITERION.split(', '))}>>"
+
+
+def _small_file(spark: SparkSession, path: str) -> str:
+    rows = spark.read.format("binaryFile").load(path).where(F.col("length") <= MOST_BYTES).select("content").limit(2).collect()  # one file
+    if len(rows) != 1:
+        raise ValueError(f"{path} is not one file of at most {MOST_BYTES} bytes")
+    return bytes(rows[0].content).decode("utf-8")
+
+
+def read_types(spark: SparkSession, path: str) -> tuple[list, list]:
+    """(document types, pattern fields) of a JSON rules file, in the file's order, in the form of DOCUMENT_TYPES and PATTERN_FIELDS: types
+    can be added without code. Fields without a pattern are left out; an empty file gives no types."""
+    found = json.loads(_small_file(spark, path) or "{}").get("document_types") or {}
+    types, fields = [], []
+    for name, rule in found.items():
+        detect = rule.get("detect") or {}
+        phrases = [(p["phrase"], int(p["weight"]), list(p.get("requires_with") or [])) for p in (detect.get("any_of_high") or []) + (detect.get("supporting") or [])]
+        types.append((name, rule.get("label", name), int(rule.get("min_score", 1)), phrases))
+        fields += [(name, f, d["regex"], d.get("context"), bool(d.get("required"))) for f, d in (rule.get("fields") or {}).items() if "regex" in d]
+    return types, fields
+
+
+def read_eligibility(spark: SparkSession, root: str, default: str) -> DataFrame:
+    """(tender_id, by_default, estimated_cost_inr, ord, id, label, ...): the criteria of every tender folder under root, from its own
+    eligibility_rules.json, or from the default file where it has none. A tender with an empty own list has no rows."""
+    own = spark.read.schema(ELIGIBILITY).option("multiLine", True).option("pathGlobFilter", "eligibility_rules.json").option("recursiveFileLookup", "true").json(root)
+    base = root.rstrip("/").split("/")[-1]
+    place = F.regexp_extract(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), f"/\\Q{base}\\E/([^/]+)/eligibility_rules.json$", 1)
+    own = own.select(place.alias("folder"), "estimated_cost_inr", "criteria").where("folder <> ''")
+    lacking = tenders(spark, root).select(F.col("tender_id").alias("folder")).join(own.select("folder"), "folder", "left_anti")
+    general = F.from_json(F.lit(_small_file(spark, default)), ELIGIBILITY)
+    rest = lacking.select("folder", general.alias("g")).select("folder", "g.estimated_cost_inr", "g.criteria", F.lit(True).alias("by_default"))
+    rows = own.withColumn("by_default", F.lit(False)).unionByName(rest)
+    listed = rows.select(F.col("folder").alias("tender_id"), "by_default", "estimated_cost_inr", F.posexplode("criteria").alias("ord", "c"))
+    return listed.select("tender_id", "by_default", "estimated_cost_inr", (F.col("ord") + 1).alias("ord"), "c.*")

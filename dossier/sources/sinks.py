@@ -19,8 +19,3 @@ def as_json_text(df: DataFrame) -> DataFrame:
     """The same rows with arrays, maps and structs as JSON text, for sinks of plain columns."""
     nested = ("array", "map", "struct")
     return df.select(*[F.to_json(c).alias(c) if kind.startswith(nested) else F.col(c) for c, kind in df.dtypes])
-
-
-def write_report(df: DataFrame, path: str, by: str) -> None:
-    """One folder of CSV per value of the column; sorted inside."""
-    df.sortWithinPartitions(by).write.mode("overwrite").partitionBy(by).option("header", "true").csv(path)

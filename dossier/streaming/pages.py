@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.session import shared_folder
+from dossier.session import own_path
 
 #: A page read again within this time of its first reading is the same reading.
 LATE = "30 days"
@@ -35,7 +33,7 @@ def hourly(stream: DataFrame) -> DataFrame:
 def settled(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run the stream over all that is there and return its result table, in the shared folder."""
     spark = stream.sparkSession
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = own_path(spark)
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")

@@ -16,6 +16,7 @@ FIELDS = "field_id bigint, document_id bigint, tender_id string, field_name stri
         ("Rs 82029 ('000)", 82_029_000, True), ("10.12 LAC only", 1_012_000, True), ("Rs 10.03799 L", 1_003_799, True), ("9 crore 21 lakh 35 thousand", 92_135_000, True),
         ("Rupees Fifteen Crore Thirty Eight Lakh Nineteen Thousand Three Hundred Sixty Seven only", 153_819_367, True), ("INR 0.519 mn", 519_000, True), ("Rs 0.257M", 257_000, True), ("1,003 K", 1_003_000, True),
         ("Rs.1227.35 lakhs/-", 122_735_000, True), ("32.41 (Rs. in lakhs)", 3_241_000, True), ("amount in crore: 1.60", 16_000_000, True), ("₹2,94,06,000", 29_406_000, True), ("62,10,000", 6_210_000, False),
+        ("-500", -500, False), ("Rs. -5 lakh", -500_000, True), ("- Rs 7", -7, True), ("Rs. 5 lakh " + "being the worth of it all " * 40, 500_000, True),
         ("Eighteen Crore Forty Four Lakh Rupees", 184_400_000, True), ("5 crore 20 thousand", 50_020_000, True), ("Rs. 9,86,45,000/- (Rupees Nine Crore only)", 98_645_000, True), ("0", 0, False),
     ],
 )
@@ -42,6 +43,15 @@ def test_priors_decide_between_dimensions():
     assert units.segment("services", "money") is None
 
 
+@pytest.mark.parametrize(("run", "dimension", "power"), [("mm", "length", -3), ("mg", "mass", -3), ("ms", "time", -3), ("mm2", "length", -6), ("cm", "length", -2), ("dm", "length", -1), ("m", "money", 6)])
+def test_small_prefixes(run, dimension, power):
+    assert units.segment(run, dimension)[1] == power
+
+
+def test_unit_in_a_long_note():
+    assert units.unit_of("as told in the notice of this office. " * 90 + "All limits are in crore") == 10**7
+
+
 @given(st.integers(1, 10**12), st.sampled_from([("lakh", 5), ("crore", 7), ("K", 3), ("mn", 6)]))
 def test_round_trip(amount, unit):
     name, power = unit
