@@ -88,9 +88,14 @@ def anchors(items: DataFrame) -> tuple[DataFrame, list[int]]:
 
 def held(item: list[str], doc: list[str]) -> float:
     """The share of the item's words that the document holds in order, in stretches of nearly equal words."""
+    return matches(item, doc)[0]
+
+
+def matches(item: list[str], doc: list[str]) -> tuple[float, int, int]:
+    """(share of the item's words held, place of the first in the document, offsets at which stretches stand)."""
     m = len(item)
     if not m or not doc:
-        return 0.0
+        return 0.0, -1, 0
     width, need, run, least, _ = needs(m)
     places = defaultdict(list)
     for i in range(m - run + 1):
@@ -101,7 +106,7 @@ def held(item: list[str], doc: list[str]) -> float:
         if w in starts:
             for i in places.get(tuple(doc[j : j + run]), ()):
                 votes[j - i] += 1
-    covered = np.zeros(m, bool)
+    covered, first, offsets = np.zeros(m, bool), -1, 0
     for delta, n in votes.items():  # an offset with a stretch of need equal words has so many whole runs
         if n < least:
             continue
@@ -109,30 +114,35 @@ def held(item: list[str], doc: list[str]) -> float:
         same = np.zeros(m, bool)
         same[lo:hi] = [item[i] == doc[i + delta] for i in range(lo, hi)]
         sums = np.convolve(same, np.ones(width, int), "valid")
-        for s in np.nonzero(sums >= need)[0]:
+        found = np.nonzero(sums >= need)[0]
+        for s in found:
             covered[s : s + width] |= same[s : s + width]
-    return float(covered.sum()) / m
+        if len(found):
+            begin = int(found[0] + np.argmax(same[found[0] :])) + delta
+            first, offsets = begin if first < 0 else min(first, begin), offsets + 1
+    return float(covered.sum()) / m, first, offsets
 
 
-@F.pandas_udf(T.DoubleType())
-def _held(items: pd.Series, docs: pd.Series) -> pd.Series:
-    return pd.Series([held(list(a), list(b)) for a, b in zip(items, docs, strict=True)], dtype="float64")
+@F.pandas_udf(T.StructType([T.StructField("share", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("stretches", T.LongType())]))
+def _held(items: pd.Series, docs: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([matches(list(a), list(b)) for a, b in zip(items, docs, strict=True)], columns=["share", "first_word", "stretches"])
 
 
 def leaks(corpus: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, share): the documents that hold an item, with the share of its words held. corpus: doc_id, text; items: item_id, text."""
+    """(doc_id, item_id, share, first_word, stretches, kind): the documents that hold an item, the share of its words held, where in the
+    document the first of them stands, and in how many pieces; kind is phrase if the item stands there word for word, else proximity.
+    corpus: doc_id, text; items: item_id, text."""
     worded = corpus.select("doc_id", terms(F.col("text")).alias("words"))
     items = items.select("item_id", terms(F.col("text")).alias("words")).where("size(words) > 0")
     chosen, lengths = anchors(items)
     index = positional_index(worded, chosen, lengths or [1])
     hits = index.join(bounded(chosen, SMALL_TERMS), ["term", "run"]).select("item_id", "doc_id", "run", "least", "cover", "at", (F.col("pos") - F.col("at")).alias("offset"))
-    # a word of a document stands at one place of an item for each offset, so rows count anchors; few offsets have enough of them
-    several = cut(hits.groupBy("item_id", "doc_id", "offset", "least").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("least")).select("item_id", "doc_id", "offset"))
-    aligned = hits.join(bounded(several, SMALL_TERMS), ["item_id", "doc_id", "offset"], "left_semi").groupBy("item_id", "doc_id", "run", "cover", "offset").agg(F.collect_set("at").alias("at"))  # at most an item's words
+    aligned = hits.groupBy("item_id", "doc_id", "run", "least", "cover", "offset").agg(F.collect_set("at").alias("at")).where(F.size("at") >= F.col("least"))  # at most an item's words
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x, x + F.col("run") - 1)))))
     candidates = aligned.select("item_id", "doc_id", "cover", covered.alias("n")).groupBy("item_id", "doc_id", "cover").agg(F.sum("n").alias("n")).where(F.col("n") >= F.col("cover"))
     candidates = cut(candidates.select("item_id", "doc_id"))
     texts = corpus.select("doc_id", "text").join(bounded(candidates.select("doc_id").distinct(), SMALL_TERMS), "doc_id", "left_semi")
     share = _held.asNondeterministic()("item_words", "words")  # so that the filter on it does not compute it again
     pairs = candidates.join(bounded(items.select("item_id", F.col("words").alias("item_words"))), "item_id").join(texts.select("doc_id", terms(F.col("text")).alias("words")), "doc_id")
-    return pairs.select("doc_id", "item_id", share.alias("share")).where(F.col("share") >= SHARE)
+    kind = F.when((F.col("h.share") == 1) & (F.col("h.stretches") == 1), "phrase").otherwise("proximity")
+    return pairs.select("doc_id", "item_id", share.alias("h")).where(F.col("h.share") >= SHARE).select("doc_id", "item_id", "h.*", kind.alias("kind"))

@@ -58,6 +58,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leak with its place: whole phrases, and what holds most of an item in a piece or a few."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed rows."""
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
@@ -77,5 +82,5 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_parties": p1_parties, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_replaced": p4_replaced, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean}
+QUERIES = {"p1_found": p1_found, "p1_parties": p1_parties, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_replaced": p4_replaced, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_matches": p7_matches, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean}
 SQL: dict[str, str] = {}

@@ -121,4 +121,11 @@ def test_exactly_half(spark):
     docs = [(k, " ".join([f"a{k}"] * 30 + item[at : at + 28] + ["between"] * 9 + item[at + 28 : at + 56] + ["after"])) for k, at in enumerate((0, 20, 56))]
     docs.append((9, " ".join(item[:50])))
     got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
-    assert {(r.doc_id, r.share) for r in got} == {(0, 0.5), (1, 0.5), (2, 0.5)}
+    assert {(r.doc_id, r.share, r.first_word, r.stretches, r.kind) for r in got} == {(k, 0.5, 30, 2, "proximity") for k in range(3)}
+
+
+def test_phrase(spark):
+    item = [f"w{k}" for k in range(40)]
+    docs = [(1, "before it " + " ".join(item) + " after"), (2, " ".join(item[:20] + ["x"] + item[21:]))]
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.first_word, r.kind) for r in got} == {(1, 2, "phrase"), (2, 0, "proximity")}
