@@ -340,11 +340,11 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""{_RUN_SQL} select tender_id, count(*) bidders, count(*) filter (where result = 'PASS') qualified, cast(sum(documents) as bigint) documents, cast(sum(pages) as bigint) pages, cast(sum(seconds) as bigint) as seconds, round(sum(pages) / nullif(sum(seconds), 0), 6) pages_a_second from r group by tender_id"""
+    f"""{_RUN_SQL} select tender_id, count(*) bidders, count(*) filter (where result = 'PASS') qualified, count(*) - count(*) filter (where result = 'PASS') disqualified, cast(sum(documents) as bigint) documents, cast(sum(pages) as bigint) pages, cast(sum(seconds) as bigint) as seconds, round(sum(pages) / nullif(sum(seconds), 0), 6) pages_a_second from r group by tender_id"""
 )
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a run over a tender came to: bidders, those qualified, documents, pages, and pages a second of reading."""
-    totals = _runs(spark, sf_dir).groupBy("tender_id").agg(F.count("*").alias("bidders"), F.count_if(F.col("result") == "PASS").alias("qualified"), F.sum("documents").alias("documents"), F.sum("pages").alias("pages"), F.sum("seconds").alias("seconds"))
+    """What a run over a tender came to: bidders, those qualified and all others (also crashed ones), documents, pages, and pages a second of reading."""
+    totals = _runs(spark, sf_dir).groupBy("tender_id").agg(F.count("*").alias("bidders"), F.count_if(F.col("result") == "PASS").alias("qualified"), (F.count("*") - F.count_if(F.col("result") == "PASS")).alias("disqualified"), F.sum("documents").alias("documents"), F.sum("pages").alias("pages"), F.sum("seconds").alias("seconds"))
     return totals.withColumn("pages_a_second", F.round(F.try_divide("pages", "seconds"), 6))
 
 
@@ -359,6 +359,52 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).select("tender_id", F.row_number().over(Window.partitionBy("tender_id").orderBy("bidder_name")).alias("line_no"), line.alias("line"))
 
 
+@_query(r"select page_id, case when length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 20 then 'native' else 'ocr' end way, source from page_results where read_error is null")
+def page_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which way every readable page goes: enough text of its own, or recognition; beside the way it was stored as."""
+    stripped = F.length(F.regexp_replace("text", r"^\s+|\s+$", ""))
+    return table(spark, sf_dir, "page_results").where("read_error is null").select("page_id", F.when(stripped >= rules.NATIVE_LEAST, "native").otherwise("ocr").alias("way"), "source")
+
+
+_EMPTY = {"json": ("[]", "{}", "null", "false", "0", '""'), "boolean": ("false", "0"), "integer": ("0",)}
+
+
+def truthy(value: Column, value_type: Column) -> Column:
+    """Whether a stored value counts as there: neither null nor empty nor its type's own nothing; as a text, '0' and 'null' are there."""
+    nothing = F.lit(False)
+    for kind, words in _EMPTY.items():
+        nothing = nothing | ((value_type == kind) & F.lower(F.trim(value)).isin(*words))
+    return value.isNotNull() & (value != "") & ~nothing
+
+
+_NOTHING_SQL = " or ".join(f"(c.value_type = '{k}' and lower(trim(f.field_value)) in ({', '.join(_q(w) for w in ws)}))" for k, ws in _EMPTY.items())
+
+
+@_query(
+    f"""select d.doc_type, c.field_name, count(*) stored, count(*) filter (where f.field_value is not null and f.field_value <> '' and not ({_NOTHING_SQL})) filled
+    from extracted_fields f join page_documents d using (document_id) join field_catalog c on c.doc_type = d.doc_type and {_KEY_SQL.format("c.field_name")} = {_KEY_SQL.format("f.field_name")} group by d.doc_type, c.field_name"""
+)
+def filled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many stored values of every catalogue field are there."""
+    known = table(spark, sf_dir, "field_catalog").select("doc_type", "field_name", "value_type", attribute_key(F.col("field_name")).alias("k"))
+    rows = table(spark, sf_dir, "extracted_fields").select("document_id", "field_value", attribute_key(F.col("field_name")).alias("k"))
+    typed = rows.join(table(spark, sf_dir, "page_documents").select("document_id", "doc_type"), "document_id").join(bounded(known), ["doc_type", "k"])
+    return typed.groupBy("doc_type", "field_name").agg(F.count("*").alias("stored"), F.count_if(truthy(F.col("field_value"), F.col("value_type"))).alias("filled"))
+
+
+@_query(
+    """with e as (select tender_id, bidder_name, source_file, 0 page_number, null::bigint document_id from page_results where read_error is not null
+      union all select tender_id, bidder_name, source_file, page_number, document_id from page_documents)
+    select tender_id, bidder_name, row_number() over (partition by tender_id, bidder_name order by source_file, page_number, document_id nulls first) as place, source_file, page_number, document_id from e"""
+)
+def paper_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The papers of every bidder in reading order, by file and page; what could not be read stands at page 0 of its file."""
+    errors = table(spark, sf_dir, "page_results").where("read_error is not null").select("tender_id", "bidder_name", "source_file", F.lit(0).alias("page_number"), F.lit(None).cast("bigint").alias("document_id"))
+    rows = errors.unionByName(table(spark, sf_dir, "page_documents").select("tender_id", "bidder_name", "source_file", "page_number", "document_id"))
+    w = Window.partitionBy("tender_id", "bidder_name").orderBy("source_file", "page_number", F.col("document_id").asc_nulls_first())
+    return rows.select("tender_id", "bidder_name", F.row_number().over(w).alias("place"), "source_file", "page_number", "document_id")
+
+
 @_query("select rule_id, coalesce(field_used, 'value') || ' vs required minimum ' || format('{:,}', cast(round(min_value_inr) as bigint)) shown from eligibility_rules where min_value_inr is not null")
 def limit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stated limit in words, with thousands set apart."""
@@ -403,6 +449,29 @@ def top_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(papers, "document_id").withColumn("place", F.row_number().over(w)).where("place <= 3").select("tender_id", "bidder_name", "place", "field_id", "value")
 
 
+#: A contract counts from this value on, and so many of the largest are shown.
+COUNTED, SHOWN = 5e6, 3
+
+
+@_query(
+    f"""with v as (select d.tender_id, d.bidder_name, f.field_id, try_cast(regexp_replace(f.field_value, '[^\\d.]', '', 'g') as double)
+    * (case when contains(lower(f.field_value), 'lakh') or contains(lower(f.field_value), 'lac') then 1e5 else 1.0 end) * (case when contains(lower(f.field_value), 'crore') then 1e7 else 1.0 end) value
+    from extracted_fields f join page_documents d using (document_id) where d.doc_type = 'EXPERIENCE_CERTIFICATE' and {_KEY_SQL.format("f.field_name")} = 'totalcontractvalue'),
+    n as (select *, row_number() over (partition by tender_id, bidder_name order by value desc, field_id) k from v where value >= {COUNTED})
+    select v.tender_id, v.bidder_name, count(*) contracts, count(*) filter (where v.value >= {COUNTED}) counted, coalesce(max(s.shown), '') shown from v left join
+    (select tender_id, bidder_name, string_agg(field_id::varchar, ', ' order by k) shown from n where k <= {SHOWN} group by all) s on s.tender_id = v.tender_id and s.bidder_name = v.bidder_name group by v.tender_id, v.bidder_name"""
+)
+def contract_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contracts of every bidder, those of COUNTED rupees or more, and the SHOWN largest of these as evidence."""
+    papers = table(spark, sf_dir, "page_documents").where("doc_type = 'EXPERIENCE_CERTIFICATE'").select("document_id", "tender_id", "bidder_name")
+    rows = table(spark, sf_dir, "extracted_fields").where(attribute_key(F.col("field_name")) == "totalcontractvalue").select("document_id", "field_id", ops.loose_number(F.col("field_value")).alias("value")).join(papers, "document_id")
+    by, counted = ["tender_id", "bidder_name"], F.col("value") >= COUNTED
+    w = Window.partitionBy(*by).orderBy(F.col("value").desc(), "field_id")
+    top = rows.where(counted).withColumn("k", F.row_number().over(w)).where(F.col("k") <= SHOWN).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("k", "field_id"))).alias("t"))  # SHOWN rows a bidder
+    shown = F.array_join(F.transform("t", lambda x: x["field_id"].cast("string")), ", ")
+    return rows.groupBy(by).agg(F.count("*").alias("contracts"), F.count_if(counted).alias("counted")).join(top, by, "left").select(*by, "contracts", "counted", F.coalesce(shown, F.lit("")).alias("shown"))
+
+
 @_query(
     """select tender_id, count(*) pages, date_diff('second', min(read_at), max(read_at)) as seconds,
     round(count(*) / nullif(date_diff('second', min(read_at), max(read_at)), 0), 9) pages_a_second from page_results group by tender_id"""
