@@ -70,3 +70,13 @@ def test_one_entity_over_many_batches(spark, catalog):
         assert all((r.seal, r.number, r.name, str(r.start)) == (False, 5, "x", "2020-01-01") for r in rows)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_odd_tables(spark, catalog):
+    """Extra columns whose names clash with the operator's own, nulls in any column, and repeated rows change nothing."""
+    rows = [(1, 1, "t", "start", "01/02/2020", None, "x"), (1, 1, "t", "start", "01/02/2020", None, "x"), (None, 1, None, "seal", "yes", None, None), (3, None, "t", "seal", "no", None, "x"), (4, 1, "t", None, "no", None, "x"), (5, 2, "t", "name", "long " * 50_000, None, "x")]
+    papers = spark.createDataFrame([(1, 5, "A"), (2, None, "A"), (None, 7, "A"), (3, 8, None)], "document_id bigint, page_id bigint, doc_type string")
+    odd = lambda df: df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(["attribute", "v", "d", "cell", "value_type", "unit_line", "default_unit", "kind"]) if c not in df.columns])
+    plain = wide.wide(_fields(spark, rows), papers, catalog)
+    assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, wide.wide(odd(_fields(spark, rows)), odd(papers), odd(catalog)).collect()), key=repr)
+    assert {r.document_id: (r.seal, str(r.start)) for r in plain.collect()} == {1: (True, "2020-02-01"), 2: (None, "None")}
