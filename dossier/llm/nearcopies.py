@@ -14,11 +14,12 @@ hashed tokens, and all its words are drawn from for its BANDS keys of ROWS minim
    common words. Linked pages form classes.
 
 No page, word or pair is dropped by frequency, length, or cap: what may be missed is only a pair without a common key. Two pages of
-Dice 0.9 have one of all 48 keys in common with a probability of 0.9998, of 0.85 with 0.96, of just 0.8 with 0.71; classes are transitive, so a
+Dice 0.9 have one of all 48 keys in common with a probability of 0.99998, of 0.85 with 0.99, of just 0.8 with 0.85; classes are transitive, so a
 copy is lost only if it has no common key with any of its class. Measured against brute force in tests/llm.
 
 Pages that share a key by chance number N * J ** ROWS, where J is the overlap of pages of one form (0.12 on average in the test tables):
-0.1 a page and key at 250,000 pages. They are closed by the bound, before texts are read.
+0.4 a page and key at 250,000 pages. They are closed by the bound, before texts are read; first by a coarse row of the matrix, in
+which COARSE bits stand for the BITS of the whole one, and then by the whole row.
 
 Defined results: null texts and pages of under LEAST_WORDS words have no copies; repeated pages are copies; page_id repeated in the
 input counts once; an empty table gives an empty result; texts of any length are compared whole.
@@ -43,9 +44,11 @@ LEAST_WORDS = 60
 #: Two pages are copies from this Dice share of their distinct words.
 SIMILAR = 0.8
 #: Keys of a page, and the minima over all its words that make up a key.
-BANDS, ROWS = 48, 9
-#: Bits of a row of the matrix.
-BITS = 1024
+BANDS, ROWS = 48, 8
+#: Bits of a row of the matrix, and of its coarse form.
+BITS, COARSE = 1024, 256
+#: The columns of a row, from coarse to fine, and their numbers.
+LEVELS = (("coarse", COARSE // 64), ("bits", BITS // 64))
 #: Pages in a block of a group's union, on average.
 BLOCK = 16
 #: Page ids of candidate pairs are broadcast to the second reading of texts up to this number, and joined by shuffle beyond.
@@ -84,10 +87,10 @@ def keys_of(found: np.ndarray) -> np.ndarray:
     return ((keys ^ (keys >> np.uint64(29))) * _LAST).view(np.int64)
 
 
-def bits_of(found: np.ndarray) -> np.ndarray:
+def bits_of(found: np.ndarray, width: int = BITS) -> np.ndarray:
     """The page's row of the matrix: one bit for each hashed word."""
-    row = np.zeros(BITS, np.uint8)
-    row[(found >> np.uint64(40)) % np.uint64(BITS)] = 1
+    row = np.zeros(width, np.uint8)
+    row[(found >> np.uint64(40)) % np.uint64(width)] = 1
     return np.packbits(row).view(np.int64)
 
 
@@ -111,7 +114,7 @@ def _lists(rows: list[np.ndarray], width: int) -> pa.Array:
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sizes, first, second, keys, bits = [], [], [], [], [], []
+        ids, sizes, first, second, keys, coarse, bits = [], [], [], [], [], [], []
         for page_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = hashed(words(text)) if _long_enough(text) else ()
             if not len(found):
@@ -122,30 +125,33 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first.append(int(whole[0]))
             second.append(int(whole[1]))
             keys.append(keys_of(found))
+            coarse.append(bits_of(found, COARSE))
             bits.append(bits_of(found))
         longs = [pa.array(x, pa.int64()) for x in (ids, sizes, first, second)]
-        yield pa.RecordBatch.from_arrays([*longs, _lists(keys, BANDS), _lists(bits, BITS // 64)], names=["page_id", "n", "h1", "h2", "keys", "bits"])
+        yield pa.RecordBatch.from_arrays([*longs, _lists(keys, BANDS), _lists(coarse, COARSE // 64), _lists(bits, BITS // 64)], names=["page_id", "n", "h1", "h2", "keys", "coarse", "bits"])
 
 
 def marked(texts: DataFrame) -> DataFrame:
-    """(page_id, n, h1, h2, keys, bits) of every page of enough words: its number of words, a digest of the set, its keys and its row; stored."""
-    return settle(texts.mapInArrow(_mark, "page_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>, bits array<bigint>"))
+    """(page_id, n, h1, h2, keys, coarse, bits) of every page of enough words: its number of words, a digest of the set, its keys and its row; stored."""
+    return settle(texts.mapInArrow(_mark, "page_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>, coarse array<bigint>, bits array<bigint>"))
 
 
-def _shared(a: Column, b: Column) -> Column:
-    return sum((F.bit_count(a[k].bitwiseAND(b[k])) for k in range(BITS // 64)), F.lit(0))
+def _shared(a: Column, b: Column, width: int) -> Column:
+    return sum((F.bit_count(a[k].bitwiseAND(b[k])) for k in range(width)), F.lit(0))
 
 
-def _filled(a: Column) -> Column:
-    return sum((F.bit_count(a[k]) for k in range(BITS // 64)), F.lit(0))
+def _filled(a: Column, width: int) -> Column:
+    return sum((F.bit_count(a[k]) for k in range(width)), F.lit(0))
 
 
 def reaching(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (u, v) whose rows allow SIMILAR. Words that fall on one bit are added on the side that has fewer of them."""
-    a = rows.select(F.col("page_id").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu"))
-    b = rows.select(F.col("page_id").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv"))
-    most = _shared(F.col("bu"), F.col("bv")) + F.least(F.col("nu") - _filled(F.col("bu")), F.col("nv") - _filled(F.col("bv")))
-    return pairs.join(a, "u").join(b, "v").where(2 * most >= SIMILAR * (F.col("nu") + F.col("nv"))).select("u", "v").distinct()
+    for level, width in LEVELS:
+        a = rows.select(F.col("page_id").alias("u"), F.col("n").alias("nu"), F.col(level).alias("bu"))
+        b = rows.select(F.col("page_id").alias("v"), F.col("n").alias("nv"), F.col(level).alias("bv"))
+        most = _shared(F.col("bu"), F.col("bv"), width) + F.least(F.col("nu") - _filled(F.col("bu"), width), F.col("nv") - _filled(F.col("bv"), width))
+        pairs = pairs.join(a, "u").join(b, "v").where(2 * most >= SIMILAR * (F.col("nu") + F.col("nv"))).select("u", "v")
+    return pairs.distinct()
 
 
 def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,16 +184,17 @@ def opened(met: DataFrame, groups: DataFrame, rows: DataFrame) -> DataFrame:
     sizes = members.groupBy("grp").agg(F.count("*").alias("size"))
     part = F.pmod(F.xxhash64("page_id"), F.ceil(F.col("size") / BLOCK))
     blocks = cut(members.join(sizes, "grp").select("page_id", "grp", "size", F.xxhash64("grp", part).alias("block")))
-    unions = F.array(*[F.bit_or(F.col("bits")[k]) for k in range(BITS // 64)])
-    matrix = blocks.join(rows.select("page_id", "n", "bits"), "page_id").groupBy("block").agg(F.min("n").alias("least"), unions.alias("union"))
+    unions = [F.array(*[F.bit_or(F.col(level)[k]) for k in range(width)]).alias(level) for level, width in LEVELS]
+    matrix = cut(blocks.join(rows, "page_id").groupBy("block").agg(F.min("n").alias("least"), *unions))
     placed = grouped.select("key", "page_id").join(blocks, "page_id")
     asked = placed.select("key", F.col("page_id").alias("q"), F.struct("size", "grp").alias("smaller"))
     there = placed.select("key", "block", F.struct("size", "grp").alias("larger")).distinct()
     contacts = asked.join(there, "key").where("smaller < larger").select("q", "block").distinct()
-    held = contacts.join(rows.select(F.col("page_id").alias("q"), "n", "bits"), "q").join(matrix, "block")
-    bound = _shared(F.col("bits"), F.col("union")) + F.col("n") - _filled(F.col("bits"))
-    qualifying = held.where(2 * bound >= SIMILAR * (F.col("n") + F.col("least"))).select("q", "block")
-    pairs = qualifying.join(blocks.select("block", "page_id"), "block")
+    for level, width in LEVELS:
+        held = contacts.join(rows.select(F.col("page_id").alias("q"), "n", F.col(level).alias("own")), "q").join(matrix.select("block", "least", F.col(level).alias("union")), "block")
+        bound = _shared(F.col("own"), F.col("union"), width) + F.col("n") - _filled(F.col("own"), width)
+        contacts = held.where(2 * bound >= SIMILAR * (F.col("n") + F.col("least"))).select("q", "block")
+    pairs = contacts.join(blocks.select("block", "page_id"), "block")
     return pairs.select(F.least("q", "page_id").alias("u"), F.greatest("q", "page_id").alias("v")).distinct()
 
 
@@ -195,7 +202,7 @@ def classes(pages: DataFrame) -> DataFrame:
     """(page_id, class_id, links): the class of every page that has a copy, and its links to pages of the class that were compared."""
     texts = eligible(pages)
     everyone = marked(texts)
-    rows = everyone.select("page_id", "n", "bits")
+    rows = everyone.select("page_id", "n", "coarse", "bits")
     same = everyone.select("page_id", "h1", "h2")
     least = same.groupBy("h1", "h2").agg(F.min("page_id").alias("rep"), F.max("page_id").alias("last")).where("rep <> last").select("h1", "h2", "rep")
     twins = cut(same.join(least, ["h1", "h2"]).where("page_id <> rep").select(F.col("rep").alias("u"), F.col("page_id").alias("v")).distinct())

@@ -91,11 +91,11 @@ def test_one_page_of_many_copies(spark, word):
 def test_matrix_closes_no_reaching_block():
     """The bound of a block's union is never below the overlap with a member, also where words share bits."""
     rng = random.Random(3)
-    for n in (70, 400, 3000):
+    for n, width in itertools.product((70, 400, 3000), (nearcopies.COARSE, nearcopies.BITS)):
         a = {f"w{rng.randrange(2 * n)}" for _ in range(n)}
         members = [{f"w{rng.randrange(2 * n)}" for _ in range(n)} for _ in range(5)]
-        row = nearcopies.bits_of(nearcopies.hashed(a))
-        union = np.bitwise_or.reduce([nearcopies.bits_of(nearcopies.hashed(m)) for m in members])
+        row = nearcopies.bits_of(nearcopies.hashed(a), width)
+        union = np.bitwise_or.reduce([nearcopies.bits_of(nearcopies.hashed(m), width) for m in members])
         bound = int(np.bitwise_count(row & union).sum()) + len(a) - int(np.bitwise_count(row).sum())
         assert bound >= max(len(a & m) for m in members)
 
