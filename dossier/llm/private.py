@@ -138,7 +138,8 @@ def spans(text: str, given_names: frozenset[str] = _GIVEN) -> Iterator[tuple[str
         yield "id_number", m.start(), m.end(), (_sign(_ID_LEFT.search(before), _NOT_ID.search(before)), _sign(not long, long and got.startswith("91")), _sign(got[:5].isalpha() or "licence" in before.lower() or bool(m.group(1))))
     for m in _ADDRESS.finditer(flat):
         tail = _ADDRESS_TAIL.match(flat, m.end())
-        rest = flat[m.end() : flat.find("\n\n", m.end()) % (len(flat) + 1)].replace("\n", " ") if "\n\n" in flat else flat[m.end() :].replace("\n", " ")
+        sentence = flat.find(".", m.end())
+        rest = flat[m.end() : sentence + 1 if sentence >= 0 else len(flat)].replace("\n", " ")
         end = tail.end() if tail else m.end()
         end = _ADDRESS_END.match(flat, end).end()
         alone = not flat[flat.rfind("\n", 0, m.start()) + 1 : m.start()].strip()
