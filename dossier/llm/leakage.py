@@ -32,6 +32,8 @@ from dossier.session import bounded, cut, settle
 WINDOW, AGREE = 14, 12
 #: The share of an item's words that a document must hold.
 SHARE = 0.48
+#: Anchors at one offset are kept as bits in up to so many numbers, for items of up to 64 times as many words, and as a set beyond.
+MOST_MASKS = 32
 #: Test items are a fixed list; beyond this many rows they are joined by shuffle, not by broadcast.
 SMALL_TERMS = 200_000
 
@@ -128,6 +130,34 @@ def _held(items: pd.Series, docs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([matches(list(a), list(b)) for a, b in zip(items, docs, strict=True)], columns=["share", "first_word", "stretches"])
 
 
+_ALIGNED = ["item_id", "doc_id", "run", "least", "cover", "offset"]
+
+
+def _by_sets(hits: DataFrame) -> DataFrame:
+    """(item_id, doc_id, cover, n): the words that anchors cover at each offset with enough of them."""
+    aligned = hits.groupBy(_ALIGNED).agg(F.collect_set("at").alias("at")).where(F.size("at") >= F.col("least"))  # at most an item's words
+    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x, x + F.col("run") - 1)))))
+    return aligned.select("item_id", "doc_id", "cover", covered.alias("n"))
+
+
+def _by_masks(hits: DataFrame, masks: int) -> DataFrame:
+    """As _by_sets(), with a bit for each place of an item: the aggregate keeps numbers only."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at") % 64)
+    ors = [F.bit_or(F.when(F.floor(F.col("at") / 64) == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"m{k}") for k in range(masks)]
+    aligned = hits.groupBy(_ALIGNED).agg(*ors)
+    anchors_there = sum((F.bit_count(f"m{k}") for k in range(masks)), F.lit(0))
+    covered = F.lit(0)
+    for k in range(masks):
+        word = F.col(f"m{k}")
+        for j in range(1, 4):  # an anchor of so many words covers the places after its own
+            moved = F.shiftleft(f"m{k}", j)
+            if k:
+                moved = moved.bitwiseOR(F.shiftrightunsigned(f"m{k - 1}", 64 - j))
+            word = word.bitwiseOR(F.when(F.col("run") > j, moved).otherwise(F.lit(0).cast("bigint")))
+        covered = covered + F.bit_count(word)
+    return aligned.where(anchors_there >= F.col("least")).select("item_id", "doc_id", "cover", covered.alias("n"))
+
+
 def leaks(corpus: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share, first_word, stretches, kind): the documents that hold an item, the share of its words held, where in the
     document the first of them stands, and in how many pieces; kind is phrase if the item stands there word for word, else proximity.
@@ -137,9 +167,9 @@ def leaks(corpus: DataFrame, items: DataFrame) -> DataFrame:
     chosen, lengths = anchors(items)
     index = positional_index(worded, chosen, lengths or [1])
     hits = index.join(bounded(chosen, SMALL_TERMS), ["term", "run"]).select("item_id", "doc_id", "run", "least", "cover", "at", (F.col("pos") - F.col("at")).alias("offset"))
-    aligned = hits.groupBy("item_id", "doc_id", "run", "least", "cover", "offset").agg(F.collect_set("at").alias("at")).where(F.size("at") >= F.col("least"))  # at most an item's words
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x, x + F.col("run") - 1)))))
-    candidates = aligned.select("item_id", "doc_id", "cover", covered.alias("n")).groupBy("item_id", "doc_id", "cover").agg(F.sum("n").alias("n")).where(F.col("n") >= F.col("cover"))
+    longest = items.agg(F.max(F.size("words"))).first()[0] or 0
+    aligned = _by_masks(hits, -(-longest // 64)) if longest <= 64 * MOST_MASKS else _by_sets(hits)
+    candidates = aligned.groupBy("item_id", "doc_id", "cover").agg(F.sum("n").alias("n")).where(F.col("n") >= F.col("cover"))
     candidates = cut(candidates.select("item_id", "doc_id"))
     texts = corpus.select("doc_id", "text").join(bounded(candidates.select("doc_id").distinct(), SMALL_TERMS), "doc_id", "left_semi")
     share = _held.asNondeterministic()("item_words", "words")  # so that the filter on it does not compute it again

@@ -129,3 +129,20 @@ def test_phrase(spark):
     docs = [(1, "before it " + " ".join(item) + " after"), (2, " ".join(item[:20] + ["x"] + item[21:]))]
     got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
     assert {(r.doc_id, r.first_word, r.kind) for r in got} == {(1, 2, "phrase"), (2, 0, "proximity")}
+
+
+def test_masks_and_sets(spark):
+    """Both forms of the aggregate count the same covered words, over the ends of numbers too."""
+    rng = random.Random(12)
+    rows = [(i, d, run, 2, 5, o, at) for i in range(3) for d in range(20) for run in (1, 2, 3, 4) for o in (-3, 0, 7) for at in rng.sample(range(190), rng.choice((1, 4, 60)))]
+    hits = spark.createDataFrame(rows, "item_id bigint, doc_id bigint, run int, least int, cover int, offset int, at int")
+    sets, masks = (sorted(map(tuple, f.collect())) for f in (leakage._by_sets(hits), leakage._by_masks(hits, 4)))
+    assert len(sets) > 100
+    assert sets == masks
+    assert all(needed <= 4 for needed in (leakage.needs(m)[2] for m in range(1, 500)))
+
+
+def test_long_item(spark):
+    item = [f"w{k}" for k in range(64 * leakage.MOST_MASKS + 100)]
+    docs = spark.createDataFrame([(1, " ".join(item[300:1900])), (2, " ".join(item[:200]))], "doc_id bigint, text string")
+    assert [r.doc_id for r in leakage.leaks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()] == [1]
