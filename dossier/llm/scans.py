@@ -42,6 +42,8 @@ LEAST_SHARE, LEAST_PAGES = 1e-4, 3
 #: over RUN_TYPES document types or more.
 RUN_SHARE, RUN_PAGES, RUN_TYPES = 0.8, 2, 3
 EDGE = 3
+#: A task hands on its counts of words when it has so many.
+MOST_COUNTED = 500_000
 #: Running openings are sent to all tasks up to this number, and joined to pages beyond.
 FEW_OPENINGS = 10_000
 
@@ -112,21 +114,37 @@ def _keys(o: str) -> list[str]:
     return [o] + [" ".join([*ws[:k], "*", *ws[k + 1 :]]) for k in range(len(ws)) if len(ws) > 1]
 
 
+def _alike(o: str, other: str) -> bool:
+    """Openings of which all words but one agree, and that one within one letter or two."""
+    ws, vs = o.split(), other.split()
+    if len(vs) != len(ws) or len(ws) < 2:
+        return False
+    wrong = [(a, b) for a, b in zip(ws, vs, strict=True) if a != b]
+    return len(wrong) == 1 and (len(wrong[0][1]) > 3 or len(ws) > 2 and len(wrong[0][1]) > 1) and near(*wrong[0], 2) <= (2 if len(wrong[0][1]) > 3 else 1)
+
+
 def runs_of_pages(pages: DataFrame, runs: DataFrame) -> DataFrame:
-    """(page_id, runs): the running openings that share a key with a line of the page."""
+    """(page_id, runs): the running openings that are those of lines of the page, one word misread or none. Each different opening of the
+    corpus is compared once, with the running openings that share a key."""
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(page, k) for page, text in zip(batch["page_id"], batch["text"], strict=True) for k in {k for x in text.split("\n") for part in _GAP.split(x.strip()) if part for k in _keys(opening(part))}]
-            yield pd.DataFrame(rows, columns=["page_id", "k"])
+            rows = [(page, o) for page, text in zip(batch["page_id"], batch["text"], strict=True) for o in {opening(part) for x in text.split("\n") for part in _GAP.split(x.strip()) if part}]
+            yield pd.DataFrame(rows, columns=["page_id", "o"])
+
+    @F.pandas_udf("array<string>")
+    def keys(os: pd.Series) -> pd.Series:
+        return os.map(_keys)
 
-    @F.udf("array<string>")
-    def keys(o):
-        return _keys(o)
+    @F.pandas_udf("boolean")
+    def alike(os: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([a == b or _alike(a, b) for a, b in zip(os, others, strict=True)], dtype="bool")
 
-    here = pages.where("text is not null").select("page_id", "text").mapInPandas(lines, "page_id bigint, k string")
-    met = here.join(runs.select("o", F.explode(keys("o")).alias("k")), "k")
-    return met.groupBy("page_id").agg(F.collect_set("o").alias("runs"))  # the running lines of one page
+    here = settle(pages.where("text is not null").select("page_id", "text").mapInPandas(lines, "page_id bigint, o string"))
+    different = here.select("o").distinct().select("o", F.explode(keys("o")).alias("k"))
+    known = runs.select(F.col("o").alias("run"), F.explode(keys("o")).alias("k"))
+    met = different.join(known, "k").select("o", "run").distinct().where(alike("o", "run"))
+    return here.join(met, "o").groupBy("page_id").agg(F.collect_set("run").alias("runs"))  # the running lines of one page
 
 
 def language(pages: DataFrame) -> tuple[dict[str, int], dict[str, int], int]:
@@ -134,8 +152,18 @@ def language(pages: DataFrame) -> tuple[dict[str, int], dict[str, int], int]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
-        grams: Counter = Counter()
         names: Counter = Counter()
+
+        def counted() -> pd.DataFrame:
+            grams: Counter = Counter()
+            for w, k in names.items():
+                for g in _grams(w):
+                    grams[g] += k
+            rows = [("w", w, k) for w, k in words.items()] + [("g", g, k) for g, k in grams.items()]
+            words.clear()
+            names.clear()
+            return pd.DataFrame(rows, columns=["kind", "key", "n"])
+
         n = 0
         for batch in batches:
             for text in batch["text"]:
@@ -144,11 +172,10 @@ def language(pages: DataFrame) -> tuple[dict[str, int], dict[str, int], int]:
                 words.update({w.lower() for w in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)+", text)})
                 names.update(w.lower() for w in found if w[0].isupper() and len(w) > 3)
             n += len(batch)
-        for w, k in names.items():
-            for g in _grams(w):
-                grams[g] += k
-        rows = [("w", w, k) for w, k in words.items()] + [("g", g, k) for g, k in grams.items()] + [("n", "", n)]
-        yield pd.DataFrame(rows, columns=["kind", "key", "n"])
+            if len(words) > MOST_COUNTED:  # the shuffle adds them up
+                yield counted()
+        yield counted()
+        yield pd.DataFrame([("n", "", n)], columns=["kind", "key", "n"])
 
     native = pages.where("source = 'native' and text is not null").select("text")
     sums = cut(native.mapInPandas(count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")))
@@ -206,15 +233,7 @@ class Furniture:
 
     def _nearly(self, o: str) -> bool:
         """An opening with one letter or two misread: all words but one agree, and that one nearly."""
-        ws = o.split()
-        for k, w in enumerate(ws):
-            for other in self.by_word.get((k, w), ()):
-                vs = other.split()
-                if len(vs) == len(ws) and len(ws) > 1:
-                    wrong = [(a, b) for a, b in zip(ws, vs, strict=True) if a != b]
-                    if len(wrong) == 1 and (len(wrong[0][1]) > 3 or len(ws) > 2 and len(wrong[0][1]) > 1) and near(*wrong[0], 2) <= (2 if len(wrong[0][1]) > 3 else 1):
-                        return True
-        return False
+        return any(_alike(o, other) for k, w in enumerate(o.split()) for other in self.by_word.get((k, w), ()))
 
 
 #: An arc of the lattice: what it costs, how many words of the stream it covers, what it reads, how many confusions it undoes.
