@@ -93,11 +93,12 @@ def held(item: list[str], doc: list[str]) -> float:
     return matches(item, doc)[0]
 
 
-def matches(item: list[str], doc: list[str]) -> tuple[float, int, int]:
-    """(share of the item's words held, place of the first in the document, offsets at which stretches stand)."""
+def matches(item: list[str], doc: list[str]) -> tuple[float, int, int, bool]:
+    """(share of the item's words held, place of the first at the offset that holds most, offsets at which stretches stand, whether one
+    of them holds every word)."""
     m = len(item)
     if not m or not doc:
-        return 0.0, -1, 0
+        return 0.0, -1, 0, False
     width, need, run, least, _ = needs(m)
     places = defaultdict(list)
     for i in range(m - run + 1):
@@ -108,7 +109,7 @@ def matches(item: list[str], doc: list[str]) -> tuple[float, int, int]:
         if w in starts:
             for i in places.get(tuple(doc[j : j + run]), ()):
                 votes[j - i] += 1
-    covered, first, offsets = np.zeros(m, bool), -1, 0
+    covered, first, offsets, most = np.zeros(m, bool), -1, 0, 0
     for delta, n in votes.items():  # an offset with a stretch of need equal words has so many whole runs
         if n < least:
             continue
@@ -120,14 +121,15 @@ def matches(item: list[str], doc: list[str]) -> tuple[float, int, int]:
         for s in found:
             covered[s : s + width] |= same[s : s + width]
         if len(found):
-            begin = int(found[0] + np.argmax(same[found[0] :])) + delta
-            first, offsets = begin if first < 0 else min(first, begin), offsets + 1
-    return float(covered.sum()) / m, first, offsets
+            offsets += 1
+            if same.sum() > most:
+                most, first = int(same.sum()), int(found[0] + np.argmax(same[found[0] :])) + delta
+    return float(covered.sum()) / m, first, offsets, most == m
 
 
-@F.pandas_udf(T.StructType([T.StructField("share", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("stretches", T.LongType())]))
+@F.pandas_udf(T.StructType([T.StructField("share", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("stretches", T.LongType()), T.StructField("whole", T.BooleanType())]))
 def _held(items: pd.Series, docs: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([matches(list(a), list(b)) for a, b in zip(items, docs, strict=True)], columns=["share", "first_word", "stretches"])
+    return pd.DataFrame([matches(list(a), list(b)) for a, b in zip(items, docs, strict=True)], columns=["share", "first_word", "stretches", "whole"])
 
 
 _ALIGNED = ["item_id", "doc_id", "run", "least", "cover", "offset"]
@@ -160,7 +162,7 @@ def _by_masks(hits: DataFrame, masks: int) -> DataFrame:
 
 def leaks(corpus: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share, first_word, stretches, kind): the documents that hold an item, the share of its words held, where in the
-    document the first of them stands, and in how many pieces; kind is phrase if the item stands there word for word, else proximity.
+    document the first of them stands at the offset that holds most, and in how many pieces; kind is phrase if the item stands there word for word, else proximity.
     corpus: doc_id, text; items: item_id, text."""
     worded = corpus.select("doc_id", terms(F.col("text")).alias("words"))
     items = items.select("item_id", terms(F.col("text")).alias("words")).where("size(words) > 0")
@@ -174,5 +176,5 @@ def leaks(corpus: DataFrame, items: DataFrame) -> DataFrame:
     texts = corpus.select("doc_id", "text").join(bounded(candidates.select("doc_id").distinct(), SMALL_TERMS), "doc_id", "left_semi")
     share = _held.asNondeterministic()("item_words", "words")  # so that the filter on it does not compute it again
     pairs = candidates.join(bounded(items.select("item_id", F.col("words").alias("item_words"))), "item_id").join(texts.select("doc_id", terms(F.col("text")).alias("words")), "doc_id")
-    kind = F.when((F.col("h.share") == 1) & (F.col("h.stretches") == 1), "phrase").otherwise("proximity")
-    return pairs.select("doc_id", "item_id", share.alias("h")).where(F.col("h.share") >= SHARE).select("doc_id", "item_id", "h.*", kind.alias("kind"))
+    kind = F.when(F.col("h.whole"), "phrase").otherwise("proximity")
+    return pairs.select("doc_id", "item_id", share.alias("h")).where(F.col("h.share") >= SHARE).select("doc_id", "item_id", "h.share", "h.first_word", "h.stretches", kind.alias("kind"))

@@ -44,6 +44,11 @@ def p4_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.replaced(private.free_texts(table(spark, sf_dir, "page_results"), table(spark, sf_dir, "extracted_fields")))
 
 
+def p4_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each kind the spans that a labeler votes for, those the classifier takes, and those it decides against the majority of votes."""
+    return private.decisions(private.proposals(private.free_texts(table(spark, sf_dir, "page_results"), table(spark, sf_dir, "extracted_fields"))))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.copy_pairs(nearcopies.classes(table(spark, sf_dir, "page_results")))
 
@@ -77,10 +82,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_ids(table(spark, sf_dir, "documents")).select("doc_id")
 
 
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records of residue have a seed mark, and how many the model finds alone."""
+    found = residue.residue_ids(table(spark, sf_dir, "documents"))
+    return found.groupBy(F.when(F.col("trusted"), "seed").otherwise("model").alias("found_by")).agg(F.count("*").alias("records"))
+
+
 def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus without the residue records."""
     return residue.without_residue(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_parties": p1_parties, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_replaced": p4_replaced, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_matches": p7_matches, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean}
+QUERIES = {"p1_found": p1_found, "p1_parties": p1_parties, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_replaced": p4_replaced, "p4_decisions": p4_decisions, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_matches": p7_matches, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean, "p9_report": p9_report}
 SQL: dict[str, str] = {}
