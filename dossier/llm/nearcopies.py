@@ -14,11 +14,11 @@ hashed tokens, and all its words are drawn from for its BANDS keys of ROWS minim
    common words. Linked pages form classes.
 
 No page, word or pair is dropped by frequency, length, or cap: what may be missed is only a pair without a common key. Two pages of
-Dice 0.9 have one of all 48 keys in common with a probability of 0.99998, of 0.85 with 0.99, of just 0.8 with 0.85; classes are transitive, so a
+Dice 0.9 have one of all 48 keys in common with a probability of 0.9998, of 0.85 with 0.96, of just 0.8 with 0.71; classes are transitive, so a
 copy is lost only if it has no common key with any of its class. Measured against brute force in tests/llm.
 
 Pages that share a key by chance number N * J ** ROWS, where J is the overlap of pages of one form (0.12 on average in the test tables):
-0.4 a page and key at 250,000 pages. They are closed by the bound, before texts are read; first by a coarse row of the matrix, in
+0.1 a page and key at 250,000 pages. They are closed by the bound, before texts are read; first by a coarse row of the matrix, in
 which COARSE bits stand for the BITS of the whole one, and then by the whole row.
 
 Defined results: null texts and pages of under LEAST_WORDS words have no copies; repeated pages are copies; page_id repeated in the
@@ -44,7 +44,7 @@ LEAST_WORDS = 60
 #: Two pages are copies from this Dice share of their distinct words.
 SIMILAR = 0.8
 #: Keys of a page, and the minima over all its words that make up a key.
-BANDS, ROWS = 48, 8
+BANDS, ROWS = 48, 9
 #: Bits of a row of the matrix, and of its coarse form.
 BITS, COARSE = 1024, 256
 #: The columns of a row, from coarse to fine, and their numbers.
