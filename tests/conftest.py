@@ -8,9 +8,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from dossier.session import local_session
+    from dossier.session import local_session, release
 
     session = local_session("4", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
