@@ -56,9 +56,9 @@ SEEDS = {
 _WORD = re.compile(r"[^\W\d_]+|\d+|[{}<>\[\]$%@#«»]+|_{2,}", re.UNICODE)
 # Each seed in English has one of these words or signs; other passages skip the patterns.
 _CUES = frozenset(
-    "lorem asdf qwerty dummy filler placeholder replace blind here session javascript java scripts cookies browser verifying traceback database moment wrong down closed offline unavailable maintenance available".split()
+    "lorem asdf qwerty dummy filler placeholder replace blind here session javascript java scripts cookies browser verifying traceback database moment wrong down closed offline unavailable maintenance available 400 401 403 404 405 408 410 429 500 501 502 503 504".split()
 )
-_SIGNS = re.compile(r"\{\{|\[|\b[45]\d\d\b|[xX]{4}")
+_SIGNS = re.compile(r"\{\{|\[|[xX]{4}")
 #: Shapes: signs of programs around a word, by one on each side or more, around capitals; doubled signs; rows of X in place of figures.
 _SIGN = r"[{}<>\[\]«»%$@#&\\^~=_]"
 _SHAPED = re.compile(r"[{}<>\[\]«»%$@#_&\\^~]|[xX]{2}")
@@ -75,17 +75,18 @@ def marks(seeds: dict[str, list[str]] = SEEDS) -> re.Pattern:
 _MARKS = marks()
 
 
+def _may_be_trusted(passage: str, words: list[str], shaped: bool) -> bool:
+    """Whether a seed may be in the passage: a quick look at its words and signs."""
+    return not passage.isascii() or not _CUES.isdisjoint(words) or shaped and _SIGNS.search(passage) is not None
+
+
 def trusted(passage: str, pattern: re.Pattern = _MARKS) -> bool:
     """Whether the passage has an unmistakable mark of residue."""
-    if passage.isascii() and not _SIGNS.search(passage) and _CUES.isdisjoint(_WORD.findall(passage.lower())):
-        return False
-    return bool(pattern.search(passage))
+    return _may_be_trusted(passage, _WORD.findall(passage.lower()), _SHAPED.search(passage) is not None) and bool(pattern.search(passage))
 
 
 def shapes(passage: str) -> list[str]:
-    """The shapes of a passage, each as a feature."""
-    if not _SHAPED.search(passage):
-        return []
+    """The shapes of a passage with signs, each as a feature."""
     out = []
     for m in _AROUND.finditer(passage):
         out.append("shape around")
@@ -104,27 +105,19 @@ def shapes(passage: str) -> list[str]:
 OPEN, CLOSE = 0, 1
 
 
-def numbers(words: list[str], memory: dict[str, int], shaped: list[str] = ()) -> list[int]:
-    """The words' hashes between the marks that open and close a passage, then those of its shapes; all figures are one word."""
-    out = [OPEN]
-    for k, w in enumerate([*words, None, *shaped] if shaped else words):
-        if w is None:
-            out.append(CLOSE)
-            continue
-        n = memory.get(w)
-        if n is None:
-            if len(memory) > 500_000:
-                memory.clear()
-            n = memory[w] = 2 + crc32(b"9" if w[0].isdigit() else w.encode()) % (2**31 - 3)
-        out.append(n)
-    if not shaped:
-        out.append(CLOSE)
-    return out
+class Numbers(dict):
+    """Words to their hashes; all figures are one word. A task's memory, emptied when it grows large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        n = self[word] = 2 + crc32(b"9" if word[0].isdigit() else word.encode()) % (2**31 - 3)
+        return n
 
 
 def _featurise(pattern: re.Pattern):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, int] = {}
+        number = Numbers().__getitem__
         for batch in batches:
             ids, flags, flat, ends = [], [], [], [0]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -132,10 +125,14 @@ def _featurise(pattern: re.Pattern):
                     if not passage or passage.isspace():
                         continue
                     words = _WORD.findall(passage.lower())
-                    known = passage.isascii() and _CUES.isdisjoint(words) and not _SIGNS.search(passage)
+                    shaped = _SHAPED.search(passage) is not None
                     ids.append(doc_id)
-                    flags.append(not known and bool(pattern.search(passage)))
-                    flat += numbers(words, memory, shapes(passage))
+                    flags.append(_may_be_trusted(passage, words, shaped) and pattern.search(passage) is not None)
+                    flat.append(OPEN)  # words between the marks that open and close a passage, then its shapes
+                    flat += map(number, words)
+                    flat.append(CLOSE)
+                    if shaped:
+                        flat += map(number, shapes(passage))
                     ends.append(len(flat))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(flags, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=["doc_id", "trusted", "w"]
