@@ -170,7 +170,7 @@ def leaks(corpus: DataFrame, items: DataFrame) -> DataFrame:
     index = positional_index(worded, chosen, lengths or [1])
     hits = index.join(bounded(chosen, SMALL_TERMS), ["term", "run"]).select("item_id", "doc_id", "run", "least", "cover", "at", (F.col("pos") - F.col("at")).alias("offset"))
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
-    aligned = _by_masks(hits, -(-longest // 64)) if longest <= 64 * MOST_MASKS else _by_sets(hits)
+    aligned = _by_masks(hits, max(1, -(-longest // 64))) if longest <= 64 * MOST_MASKS else _by_sets(hits)
     candidates = aligned.groupBy("item_id", "doc_id", "cover").agg(F.sum("n").alias("n")).where(F.col("n") >= F.col("cover"))
     candidates = cut(candidates.select("item_id", "doc_id"))
     texts = corpus.select("doc_id", "text").join(bounded(candidates.select("doc_id").distinct(), SMALL_TERMS), "doc_id", "left_semi")
