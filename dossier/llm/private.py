@@ -49,6 +49,8 @@ SAMPLE, DIMENSIONS, FIRST_WORD = 20_000, 1 << 14, 64
 COMMON_SHARE, COMMON_LEAST = 1e-3, 3
 #: Features of the words around a span; and a person's first labelers, which know listed names.
 CONTEXT, GAZETTEER = 4, 3
+#: A feature has a weight if the sample has it so often.
+LEAST_SEEN = 10
 #: One in so many of the spans without a vote for them is kept for the sample.
 KEPT = 16
 
@@ -307,10 +309,11 @@ def classifier(spans_: list[list[int]], labels: np.ndarray, rounds: int = 600) -
     sizes = np.array([len(x) for x in spans_])
     flat, of = np.concatenate([np.asarray(x, np.int64) for x in spans_]), np.repeat(np.arange(len(spans_)), sizes)
     w, seen = np.zeros(DIMENSIONS + 1), np.full(DIMENSIONS + 1, 1e-8)
+    often = np.append(np.bincount(flat, minlength=DIMENSIONS) >= LEAST_SEEN, True)  # rarer ones would only learn single spans by heart
     n = len(labels)
     for _ in range(rounds):
         error = (1 / (1 + np.exp(-np.clip(np.bincount(of, w[flat], n) + w[-1], -30, 30))) - labels) / n
-        gradient = np.append(np.bincount(flat, error[of], DIMENSIONS), error.sum()) + 1e-6 * w
+        gradient = (np.append(np.bincount(flat, error[of], DIMENSIONS), error.sum()) + 3e-4 * w) * often
         seen += gradient**2
         w -= 0.3 * gradient / np.sqrt(seen)
     return w
